@@ -180,7 +180,7 @@ def _incomes(spark, sf) -> DataFrame:
     key = F.col("o_orderkey")
     return tables.table(spark, sf, "orders").select(
         "o_orderkey", (F.col("o_totalprice") / 20).alias("gross_pay"),
-        tables._pick(tables.FILINGS, key).alias("filing"), tables._pick(tables.STATES, key).alias("state"),
+        tables.pick(tables.FILINGS, key).alias("filing"), tables.pick(tables.STATES, key).alias("state"),
     )
 
 

@@ -23,17 +23,25 @@ EVENT_ID_STEM = "00000000-0000-4000-9000-"
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
+#: Stated schemas spare a footer scan per read; tables not listed here are read with the schema their files carry.
+SCHEMAS = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def employee_key(number: Column) -> Column:
     return F.concat(F.lit(EMPLOYEE_ID_STEM), F.lpad(number.cast("string"), 12, "0"))
 
 
-def _pick(values: list, k: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+def pick(values: list, k: Column) -> Column:
+    return F.element_at(F.lit(values), (k % len(values) + 1).cast("int"))
 
 
 def event_rows(spark: SparkSession, sf_dir: str, *entities: str) -> DataFrame:
@@ -44,82 +52,104 @@ def event_rows(spark: SparkSession, sf_dir: str, *entities: str) -> DataFrame:
     return rows
 
 
+def _listed(values: list) -> str:
+    return "array(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + ")"
+
+
+def _sql_at(values: list) -> str:
+    return f"element_at({_listed(values)}, CAST(k % {len(values)} + 1 AS INT))"
+
+
+def _iso(expr: str) -> str:
+    return f"date_format({expr}, \"{ISO_MICROS}\")"
+
+
+_EMPLOYEE = f"concat('{EMPLOYEE_ID_STEM}', lpad(CAST(user_id AS STRING), 12, '0'))"
+
+#: Per entity: its id, its event name, and the payload fields it adds, as Spark SQL over (off, k, user_id, value, ts).
+_ENTITIES = {
+    "timeentry": {
+        "Id": "concat_ws('-', 'te', user_id, k)",
+        "EventType": "CASE WHEN event_type = 'view' THEN 'timeentry.updated' WHEN k % 10 = 0 THEN 'timeentry.clockedin' "
+        "ELSE 'timeentry.clockedout' END",
+        "EmployeeId": _EMPLOYEE,
+        "ClockIn": _iso("ts"),
+        "ClockOut": f"CASE WHEN k % 10 <> 0 THEN {_iso('timestamp_seconds(unix_seconds(ts) + floor(value * 60))')} END",
+        "HoursWorked": "CASE WHEN k % 10 = 0 THEN 0.0D ELSE value END",
+    },
+    "employee": {
+        "Id": _EMPLOYEE,
+        "EventType": "CASE WHEN k < 10 THEN 'employee.created' WHEN k < 94 THEN 'employee.updated' "
+        "WHEN k < 97 THEN 'employee.activated' ELSE 'employee.deactivated' END",
+        "FirstName": _sql_at(FIRST_NAMES),
+        "LastName": "concat('Worker', user_id % 100)",
+        "Email": f"concat(lower(replace({_sql_at(FIRST_NAMES)}, ' ', '')), '.', user_id, '@example.com')",
+        "PayType": "1 + k % 2",
+        "PayRate": "CASE WHEN k % 2 = 1 THEN value * 1000 ELSE value END",
+        "PayPeriodHours": "CASE WHEN k % 7 <> 0 THEN 30 + k % 11 END",
+        "HireDate": _iso("CAST(date_add(DATE '2020-01-01', k * 7) AS TIMESTAMP)"),
+        "IsActive": "k < 97",
+    },
+    "deduction": {
+        "Id": "concat_ws('-', 'ded', user_id, k % 20)",
+        "EventType": "CASE WHEN k < 10 THEN 'deduction.created' WHEN k < 90 THEN 'deduction.updated' "
+        "ELSE 'deduction.deactivated' END",
+        "EmployeeId": _EMPLOYEE,
+        "DeductionType": _sql_at(DEDUCTION_CODES),
+        "Amount": "CASE WHEN k % 2 = 1 THEN k / 10.0D ELSE value END",
+        "IsPercentage": "k % 2 = 1",
+        "IsActive": "k % 9 <> 0 AND k < 90",
+    },
+    "taxinfo": {
+        "Id": "concat_ws('-', 'tax', user_id)",
+        "EventType": "CASE WHEN k < 10 THEN 'taxinfo.created' ELSE 'taxinfo.updated' END",
+        "EmployeeId": _EMPLOYEE,
+        "FederalFilingStatus": _sql_at(FILINGS),
+        "FederalAllowances": "k % 5",
+        "AdditionalFederalWithholding": "k % 50",
+        "State": _sql_at(STATES),
+        "AdditionalStateWithholding": "CASE WHEN k % 3 <> 0 THEN k % 5 END",
+    },
+}
+
+
+def _member(name: str, entities: tuple[str, ...]) -> str:
+    """A payload field: the value of whichever entity the row is, absent for entities without it."""
+    whens = []
+    for entity in entities:
+        kinds = ", ".join(f"'{kind}'" for kind, owner in ENTITY_OF.items() if owner == entity)
+        if name in _ENTITIES[entity]:
+            whens.append(f"WHEN event_type IN ({kinds}) THEN {_ENTITIES[entity][name]}")
+    return f"CASE {' '.join(whens)} END"
+
+
 def to_log(rows: DataFrame, *entities: str) -> DataFrame:
     """Rows of ``events`` (batch or stream) to a raw log (off, value).
 
-    Where the kinds of ``rows`` are known, naming their ``entities`` leaves out the payload fields of all others.
+    Where the kinds of ``rows`` are known, naming their ``entities`` leaves out the payload fields of all others. Some
+    records carry their payload as a JSON object, the others as JSON text.
     """
-    base = rows.select(
-        F.col("event_id").alias("off"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
-        "event_type", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"),
-    )
-    k, user, raw, value = F.col("k"), F.col("user_id"), F.col("event_type"), F.col("value")
-    iso = lambda c: F.date_format(c, ISO_MICROS)
-    emp, stamp, first = employee_key(user), iso(F.col("ts")), _pick(FIRST_NAMES, k)
-    is_open, is_odd = k % 10 == 0, k % 2 == 1
-    leaves = F.timestamp_seconds(F.unix_seconds("ts") + F.floor(value * 60))
-    hired = F.date_add(F.lit("2020-01-01").cast("date"), k * 7).cast("timestamp")
-
-    names = {
-        "timeentry": F.when(raw == "view", "timeentry.updated").when(is_open, "timeentry.clockedin").otherwise("timeentry.clockedout"),
-        "employee": F.when(k < 10, "employee.created").when(k < 94, "employee.updated").when(k < 97, "employee.activated").otherwise("employee.deactivated"),
-        "deduction": F.when(k < 10, "deduction.created").when(k < 90, "deduction.updated").otherwise("deduction.deactivated"),
-        "taxinfo": F.when(k < 10, "taxinfo.created").otherwise("taxinfo.updated"),
+    wanted = entities or tuple(_ENTITIES)
+    names = dict.fromkeys(name for e in wanted for name in _ENTITIES[e] if name not in ("Id", "EventType"))
+    members = {
+        "Id": _member("Id", wanted),
+        "CreatedAt": _iso("ts"),
+        "UpdatedAt": _iso("ts"),
+        **{name: _member(name, wanted) for name in names},
+        "DomainEvents": "array(named_struct("
+        f"'EventId', concat('{EVENT_ID_STEM}', lpad(CAST(off AS STRING), 12, '0')), "
+        f"'OccurredOn', {_iso('ts - make_dt_interval(k % 7)')}, 'EventType', {_member('EventType', wanted)}))",
     }
-    ids = {
-        "timeentry": F.concat_ws("-", F.lit("te"), user, k), "employee": emp,
-        "deduction": F.concat_ws("-", F.lit("ded"), user, k % 20), "taxinfo": F.concat_ws("-", F.lit("tax"), user),
-    }
-    fields = {
-        "timeentry": {
-            "EmployeeId": emp, "ClockIn": stamp, "ClockOut": F.when(~is_open, iso(leaves)),
-            "HoursWorked": F.when(is_open, F.lit(0.0)).otherwise(value),
-        },
-        "employee": {
-            "FirstName": first, "LastName": F.concat(F.lit("Worker"), user % 100),
-            "Email": F.concat(F.lower(F.regexp_replace(first, " ", "")), F.lit("."), user, F.lit("@example.com")),
-            "PayType": 1 + k % 2, "PayRate": F.when(is_odd, value * 1000).otherwise(value),
-            "PayPeriodHours": F.when(k % 7 != 0, 30 + k % 11), "HireDate": iso(hired), "IsActive": k < 97,
-        },
-        "deduction": {
-            "EmployeeId": emp, "DeductionType": _pick(DEDUCTION_CODES, k),
-            "Amount": F.when(is_odd, k / 10.0).otherwise(value), "IsPercentage": is_odd,
-            "IsActive": (k % 9 != 0) & (k < 90),
-        },
-        "taxinfo": {
-            "EmployeeId": emp, "FederalFilingStatus": _pick(FILINGS, k), "FederalAllowances": k % 5,
-            "AdditionalFederalWithholding": k % 50, "State": _pick(STATES, k),
-            "AdditionalStateWithholding": F.when(k % 3 != 0, k % 5),
-        },
-    }
-    wanted = entities or tuple(fields)
-    entity = {e: raw.isin([kind for kind, name in ENTITY_OF.items() if name == e]) for e in wanted}
-
-    def of_entity(choices: dict[str, Column]) -> Column:
-        """The value of whichever entity the row is; absent for entities without one."""
-        column = None
-        for e in wanted:
-            if e in choices:
-                column = F.when(entity[e], choices[e]) if column is None else column.when(entity[e], choices[e])
-        return column
-
-    members = dict.fromkeys(name for e in wanted for name in fields[e])
-    domain_event = F.struct(
-        F.concat(F.lit(EVENT_ID_STEM), F.lpad(F.col("off").cast("string"), 12, "0")).alias("EventId"),
-        iso(F.timestamp_micros(F.unix_micros("ts") - (k % 7).cast("bigint") * F.lit(86400000000))).alias("OccurredOn"),
-        of_entity(names).alias("EventType"),
-    )
-    payload = F.struct(
-        of_entity(ids).alias("Id"), stamp.alias("CreatedAt"), stamp.alias("UpdatedAt"),
-        *[of_entity({e: fields[e][name] for e in wanted if name in fields[e]}).alias(name) for name in members],
-        F.array(domain_event).alias("DomainEvents"),
-    )
-    head = {"type": F.lit("payroll.event"), "source": F.lit("payroll-api")}
-    as_text = F.to_json(F.struct(*[c.alias(n) for n, c in head.items()], F.col("data")))
-    as_object = F.concat(F.lit('{"type":"payroll.event","source":"payroll-api","data":'), F.col("data"), F.lit("}"))
-    return base.select("off", "k", F.to_json(payload).alias("data")).select(
-        "off", F.when(k % 10 == 3, as_object).otherwise(as_text).alias("value")
+    payload = ", ".join(f"'{name}', {sql}" for name, sql in members.items())
+    head = "'type', 'payroll.event', 'source', 'payroll-api'"
+    as_object = """concat('{"type":"payroll.event","source":"payroll-api","data":', data, '}')"""
+    return (
+        rows.selectExpr(
+            "event_id AS off", "CAST(get_json_object(props, '$.k') AS INT) AS k", "event_type", "user_id", "value",
+            "CAST(ts AS TIMESTAMP) AS ts",
+        )
+        .selectExpr("off", "k", f"to_json(named_struct({payload})) AS data")
+        .selectExpr("off", f"CASE WHEN k % 10 = 3 THEN {as_object} ELSE to_json(named_struct({head}, 'data', data)) END AS value")
     )
 
 
