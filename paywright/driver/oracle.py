@@ -448,3 +448,24 @@ SELECT l_orderkey, l_linenumber, {cents('l_extendedprice * l_discount')} AS half
   least(l_extendedprice, 20000.0::DOUBLE) AS capped, greatest(l_extendedprice, 20000.0::DOUBLE) AS raised
 FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) // 80 AS whole, CAST(round(l_extendedprice * 100) AS BIGINT) % 80 AS rest
       FROM lineitem)""")
+
+
+# Streaming: same tables as the batch queries -------------------------------------------------------------------------
+
+for _stream, _batch in {
+    "stream_employee_info": "employee_info", "stream_hours": "hours_by_period", "stream_gross_pay": "gross_pay_by_period",
+    "stream_net_pay": "net_pay_asof",
+}.items():
+    _add(_stream, ORACLE[_batch])
+_add("stream_search", _with(
+    SQL_LOG, GROSS_EVENTS, GROSS, DEDUCTIONS, GONE, _ASOF, INFO,
+    breakdown("net", "(SELECT * FROM probes LEFT JOIN asof_tax USING (emp, per) LEFT JOIN asof_totals USING (emp, per))"),
+    DOCS,
+) + """
+SELECT d.employee_id, first_name, email, COUNT(p.pay_period_number) AS periods,
+  round(coalesce(SUM(p.net_pay), 0.0::DOUBLE), 2) AS net_pay_sum
+FROM docs d LEFT JOIN periods p ON d.employee_id = p.employee_id WHERE is_active GROUP BY ALL""")
+_add("stream_projection", _with(SQL_LOG, ACCEPTED, RECORD) + """
+SELECT emp AS employee_id, first_name, is_active, last_event_type, last_event_id, epoch_us(last_event) AS last_event_us FROM record""")
+_add("stream_change_feed", _with(SQL_LOG, ACCEPTED) + """
+SELECT off, emp AS employee_id, split_part(event_type, '.', 2) AS change_type FROM accepted""")

@@ -378,8 +378,7 @@ def filter_generic(spark, sf):
 
 @query
 def change_feed(spark, sf):
-    accepted = _accepted(spark, sf)
-    return projection.change_feed(accepted, _pay_rows(spark, sf), projection.employee_record(accepted))
+    return projection.change_feed(_accepted(spark, sf), _pay_rows(spark, sf))
 
 
 @query

@@ -44,11 +44,16 @@ def pick(values: list, k: Column) -> Column:
     return F.element_at(F.lit(values), (k % len(values) + 1).cast("int"))
 
 
+def kinds_of(*entities: str) -> list[str]:
+    """Raw event kinds behind the named entities."""
+    return [kind for kind, entity in ENTITY_OF.items() if entity in entities]
+
+
 def event_rows(spark: SparkSession, sf_dir: str, *entities: str) -> DataFrame:
     """The events table, restricted to the raw kinds behind ``entities`` by a filter that reaches the Parquet scan."""
     rows = table(spark, sf_dir, "events")
     if entities:
-        rows = rows.filter(F.col("event_type").isin([raw for raw, entity in ENTITY_OF.items() if entity in entities]))
+        rows = rows.filter(F.col("event_type").isin(kinds_of(*entities)))
     return rows
 
 

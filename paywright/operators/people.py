@@ -15,8 +15,36 @@ INFO_COLUMNS = [
 ]
 
 
+def info_partials(info_events: DataFrame) -> DataFrame:
+    """Per employee, the latest value of every column that is not NULL together with its offset.
+
+    Partials of disjoint sets of events merge in any order (see ``info_from_partials``).
+    """
+    off = F.col("off")
+    kept = {**{c: c for c in INFO_COLUMNS}, "event_type": "last_event_type"}
+    return (
+        info_events.filter(F.col("employee_id").isNotNull())
+        .groupBy("employee_id")
+        .agg(
+            *[
+                F.max_by(F.struct(off.alias("off"), F.col(c).alias("v")), F.when(F.col(c).isNotNull(), off)).alias(name)
+                for c, name in kept.items()
+            ]
+        )
+    )
+
+
+def info_from_partials(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("employee_id").agg(
+        *[F.max_by(F.col(f"{c}.v"), F.col(f"{c}.off")).alias(c) for c in [*INFO_COLUMNS, "last_event_type"]]
+    )
+
+
 def employee_info(info_events: DataFrame) -> DataFrame:
-    """Current fields of each employee: the latest value of every column that is not NULL."""
+    """Current fields of each employee: the latest value of every column that is not NULL.
+
+    A single aggregation, so it also runs on a stream in update mode.
+    """
     off = F.col("off")
     columns = {**{c: c for c in INFO_COLUMNS}, "event_type": "last_event_type"}
     return (

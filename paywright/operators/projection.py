@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paywright.functions.ordered import BLOCK_ROWS, Running, with_running
@@ -72,49 +72,53 @@ def accepted_events(changes: DataFrame, prior: DataFrame | None = None, block_ro
     return seen.filter(newer).select(*changes.columns)
 
 
-def employee_record(accepted: DataFrame) -> DataFrame:
-    """One record per employee from its accepted events.
-
-    Created and updated events set every field; activated and deactivated ones set only the flag. A record that begins
-    with either has blank fields. The reference clock of the audit columns is the event time, so a replay gives the same
-    rows. ``first_off`` and ``last_deactivated_off`` order the record against other logs.
-    """
+def record_partials(accepted: DataFrame) -> DataFrame:
+    """Per employee, what a set of accepted events says about its record; partials of disjoint sets merge."""
     off = F.col("off")
-    with_fields = F.when(F.col("fields").isNotNull(), off)
     gone = F.col("event_type") == "employee.deactivated"
-    packed = accepted.groupBy("employee_id").agg(
-        F.max_by("fields", with_fields).alias("fields"),
-        F.max_by("is_active", off).alias("is_active"),
-        F.max_by(F.struct("event_type", "occurred_on", "event_id"), off).alias("_last"),
-        F.min_by("occurred_on", off).alias("created_at"),
-        F.min(off).alias("first_off"),
-        F.max(off).alias("last_off"),
+    return accepted.groupBy("employee_id").agg(
+        F.max_by(F.struct(off.alias("off"), F.col("fields").alias("v")), F.when(F.col("fields").isNotNull(), off)).alias(
+            "fields"
+        ),
+        F.max_by(F.struct(off.alias("off"), "event_type", "occurred_on", "event_id", "is_active"), off).alias("last"),
+        F.min_by(F.struct(off.alias("off"), "occurred_on"), off).alias("first"),
         F.max(F.when(gone, off)).alias("last_deactivated_off"),
     )
-    return packed.select("employee_id", *_record_fields(), "is_active", *_record_tracking())
 
 
-def _record_fields() -> list[Column]:
-    texts = [F.coalesce(F.col(f"fields.{c}"), F.lit("")).alias(c) for c in ("first_name", "last_name", "email", "pay_type")]
-    default_hours = F.lit(40).cast("decimal(18,2)")
-    return [
-        *texts,
+def record_from_partials(partials: DataFrame) -> DataFrame:
+    merged = partials.groupBy("employee_id").agg(
+        F.max_by(F.col("fields.v"), F.col("fields.off")).alias("fields"),
+        F.max_by("last", F.col("last.off")).alias("last"),
+        F.min_by("first", F.col("first.off")).alias("first"),
+        F.max("last_deactivated_off").alias("last_deactivated_off"),
+    )
+    text = lambda c: F.coalesce(F.col(f"fields.{c}"), F.lit("")).alias(c)
+    return merged.select(
+        "employee_id",
+        *[text(c) for c in ("first_name", "last_name", "email", "pay_type")],
         F.col("fields.pay_rate").alias("pay_rate"),
-        F.coalesce("fields.pay_period_hours", default_hours).alias("pay_period_hours"),
-    ]
+        F.coalesce("fields.pay_period_hours", F.lit(40).cast("decimal(18,2)")).alias("pay_period_hours"),
+        F.col("last.is_active").alias("is_active"),
+        F.col("last.event_type").alias("last_event_type"),
+        F.col("last.occurred_on").alias("last_event_timestamp"),
+        F.col("last.event_id").alias("last_event_id"),
+        F.col("first.occurred_on").alias("created_at"),
+        F.col("last.occurred_on").alias("updated_at"),
+        F.col("first.off").alias("first_off"),
+        F.col("last.off").alias("last_off"),
+        "last_deactivated_off",
+    )
+
 
+def employee_record(accepted: DataFrame) -> DataFrame:
+    """One record per employee from its accepted events.
 
-def _record_tracking() -> list[Column]:
-    return [
-        F.col("_last.event_type").alias("last_event_type"),
-        F.col("_last.occurred_on").alias("last_event_timestamp"),
-        F.col("_last.event_id").alias("last_event_id"),
-        F.col("created_at"),
-        F.col("_last.occurred_on").alias("updated_at"),
-        F.col("first_off"),
-        F.col("last_off"),
-        F.col("last_deactivated_off"),
-    ]
+    Created and updated events set every field; activated and deactivated ones set only the flag. A record that begins
+    with either has blank fields. The reference clock of the audit columns is the event time, so a replay gives the same
+    rows. ``first_off`` and ``last_deactivated_off`` order the record against other logs.
+    """
+    return record_from_partials(record_partials(accepted))
 
 
 def valid_pay_rows(net_pay: DataFrame) -> DataFrame:
@@ -142,7 +146,7 @@ def with_period_acceptance(
     return seen.select(*net_pay.columns, accepted.alias("accepted"))
 
 
-def pay_attributes(net_pay: DataFrame, records: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+def pay_attributes(net_pay: DataFrame, records: DataFrame) -> DataFrame:
     """The pay row each employee shows: highest period since the last deactivation, its latest arrival.
 
     A deactivation deletes the row and so forgets which period was highest. Accepting "this period or later" one by one
@@ -151,8 +155,6 @@ def pay_attributes(net_pay: DataFrame, records: DataFrame, prior: DataFrame | No
     """
     known = records.select("employee_id", "first_off", F.coalesce("last_deactivated_off", F.lit(-1)).alias("_reset"))
     rows = valid_pay_rows(net_pay)
-    if prior is not None:
-        rows = rows.unionByName(prior.select(*rows.columns))
     live = join_one_per_key(rows, known, ["employee_id"], "inner").filter(
         (F.col("off") > F.col("_reset")) & (F.col("off") > F.col("first_off"))
     )
@@ -174,15 +176,20 @@ def sort_by(df: DataFrame, *specs: tuple[str, str]) -> DataFrame:
     return df.orderBy(*[directions[way.upper()](F.col(path)) for path, way in specs])
 
 
-def change_feed(accepted: DataFrame, net_pay: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
-    """One row per accepted event, plus ``payUpdated`` rows for accepted pay rows of known employees."""
+def pay_changes(net_pay: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Pay rows that count: of known employees, after the record exists, and not of an older period."""
+    known = accepted.groupBy("employee_id").agg(F.min("off").alias("first_off"))
+    rows = join_one_per_key(valid_pay_rows(net_pay), known, ["employee_id"], "inner").filter("off > first_off")
+    resets = accepted.filter(F.col("event_type") == "employee.deactivated")
+    return with_period_acceptance(rows, resets).filter("accepted").drop("accepted", "first_off")
+
+
+def change_feed(accepted: DataFrame, net_pay: DataFrame | None = None) -> DataFrame:
+    """One row per accepted event, plus ``payUpdated`` rows for the pay rows that count."""
     feed = accepted.select("off", "employee_id", change_type(F.col("event_type")).alias("change_type"))
     if net_pay is None:
         return feed
-    known = records.select("employee_id", "first_off")
-    rows = join_one_per_key(valid_pay_rows(net_pay), known, ["employee_id"], "inner").filter("off > first_off")
-    resets = accepted.filter(F.col("event_type") == "employee.deactivated")
-    paid = with_period_acceptance(rows, resets).filter("accepted")
+    paid = pay_changes(net_pay, accepted)
     return feed.unionByName(paid.select("off", "employee_id", F.lit("payUpdated").alias("change_type")))
 
 
