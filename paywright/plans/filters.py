@@ -24,7 +24,9 @@ HIDDEN_FIELDS = {"employee_id"}
 
 PAGE_SIZE = 200
 
-_NOT_WORD = r"[^\p{L}\p{N}_']+"
+# A word: letters, digits and underscores, joined by some marks between two letters or between two digits.
+_WORD = r"(?:[\p{L}\p{N}_]|(?<=\p{L})['’.:·](?=\p{L})|(?<=\p{N})['.,;](?=\p{N}))+"
+_QUERY_WORD = r"(?:\w|(?<=[^\W\d_])['’.:·](?=[^\W\d_])|(?<=\d)['.,;](?=\d))+"
 
 
 @dataclass(frozen=True)
@@ -75,20 +77,16 @@ def searchable_fields(
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), _NOT_WORD), lambda w: w != "")
-
-
-def _spaced(text: Column) -> Column:
-    """Words of a text with one space before each, so that phrases can be found with ``contains``."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _NOT_WORD, " "))
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
 def phrase_prefix(text: Column, query: str) -> Column:
     """Whether the query's words occur in a row, the last one possibly cut short."""
-    asked = [w for w in re.split(r"[^\w']+", query.lower()) if w]
+    asked = re.findall(_QUERY_WORD, query.lower())
     if not asked:
         return F.lit(False)
-    return _spaced(text).contains(" " + " ".join(asked))
+    # One space before each word, so that a phrase is found from the start of a word on.
+    return F.concat(F.lit(" "), F.array_join(words(text), " ")).contains(" " + " ".join(asked))
 
 
 def wildcard(text: Column, pattern: str) -> Column:
