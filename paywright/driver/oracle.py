@@ -469,3 +469,18 @@ _add("stream_projection", _with(SQL_LOG, ACCEPTED, RECORD) + """
 SELECT emp AS employee_id, first_name, is_active, last_event_type, last_event_id, epoch_us(last_event) AS last_event_us FROM record""")
 _add("stream_change_feed", _with(SQL_LOG, ACCEPTED) + """
 SELECT off, emp AS employee_id, split_part(event_type, '.', 2) AS change_type FROM accepted""")
+_add("stream_pay_updates", _with(
+    SQL_LOG, GROSS_EVENTS, GROSS, GONE,
+    ACCEPTED.replace("UNION ALL SELECT * REPLACE ((off + 40) * 2 + 1 AS off) FROM log WHERE kind = 'signup' AND off % 10 = 0", ""),
+) + """
+, firsts AS (SELECT emp, MIN(off) AS first_off FROM accepted GROUP BY emp),
+rows AS (
+  SELECT emp, per, last_off * 2 AS off FROM gross_pay JOIN firsts USING (emp)
+  WHERE emp NOT IN (SELECT emp FROM gone) AND last_off * 2 > first_off
+),
+counted AS (
+  SELECT * FROM rows QUALIFY per >= coalesce(
+    MAX(per) OVER (PARTITION BY emp ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), per)
+)
+SELECT off // 2 AS off, emp AS employee_id, split_part(event_type, '.', 2) AS change_type FROM accepted
+UNION ALL SELECT off // 2, emp, 'payUpdated' FROM counted""")

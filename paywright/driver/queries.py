@@ -15,6 +15,7 @@ from paywright.operators import checks, extract, lookups, netpay, pay, people, p
 from paywright.plans import filters
 from paywright.plans.payroll import Payroll
 from paywright.plans.search_documents import last_pay_periods, search_hits
+from paywright.session import materialize
 from paywright.sources import changelog, event_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,7 +189,7 @@ def _incomes(spark, sf) -> DataFrame:
 def federal_tax(spark, sf):
     """Progressive tax as one expression."""
     return _incomes(spark, sf).select(
-        "o_orderkey", tax.federal_tax(F.col("gross_pay"), F.col("filing")).alias("federal_tax")
+        "o_orderkey", tax.federal_tax("gross_pay", "filing").alias("federal_tax")
     )
 
 
@@ -378,7 +379,7 @@ def filter_generic(spark, sf):
 
 @query
 def change_feed(spark, sf):
-    return projection.change_feed(_accepted(spark, sf), _pay_rows(spark, sf))
+    return projection.change_feed(materialize(_accepted(spark, sf), "accepted"), _pay_rows(spark, sf))
 
 
 @query

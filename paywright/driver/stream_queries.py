@@ -11,6 +11,7 @@ from paywright.schemas import EMPLOYEE_INFO
 from paywright.session import scratch_dir
 from paywright.sources.event_log import events_of
 from paywright.streaming import jobs
+from paywright.streaming.layouts import NET
 from paywright.streaming.store import BatchStore
 
 
@@ -79,3 +80,15 @@ def stream_change_feed(spark, sf):
     job = jobs.ProjectionStream(spark, scratch_dir(spark, "feed"))
     _run(spark, tables.redelivered(_log(spark, sf, "employee")), job)
     return job.change_feed()
+
+
+@query
+def stream_pay_updates(spark, sf):
+    """Record and pay changes: the net-pay job's output streams into the read model behind the events."""
+    net = jobs.NetPayStream(spark, scratch_dir(spark, "net-pay"))
+    _run(spark, _log(spark, sf), net)
+    model = jobs.ProjectionStream(spark, scratch_dir(spark, "projection"))
+    _run(spark, _log(spark, sf, "employee"), model)
+    rows = spark.readStream.schema(NET).parquet(f"{net.net.path}/*")
+    jobs.run(rows, model.process_pay, scratch_dir(spark, "checkpoint")).awaitTermination()
+    return model.whole_feed()

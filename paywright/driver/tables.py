@@ -20,6 +20,7 @@ DEDUCTION_CODES = [1, 2, 3, 4, 5, 99]
 ENTITY_OF = {"click": "timeentry", "view": "timeentry", "signup": "employee", "purchase": "deduction", "error": "taxinfo"}
 EMPLOYEE_ID_STEM = "00000000-0000-4000-8000-"
 EVENT_ID_STEM = "00000000-0000-4000-9000-"
+SPLIT_BYTES = 4 << 20
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
@@ -49,12 +50,26 @@ def kinds_of(*entities: str) -> list[str]:
     return [kind for kind, entity in ENTITY_OF.items() if entity in entities]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Give every core a share of an input that is smaller than one file split per core.
+
+    Building and parsing JSON is the costly part here, and a small file is read by a single task. The known size decides:
+    a table of many splits is left as it is, so nothing large is ever shuffled for this.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < cores * SPLIT_BYTES:
+        return rows.repartition(cores, "event_id")
+    return rows
+
+
 def event_rows(spark: SparkSession, sf_dir: str, *entities: str) -> DataFrame:
     """The events table, restricted to the raw kinds behind ``entities`` by a filter that reaches the Parquet scan."""
     rows = table(spark, sf_dir, "events")
     if entities:
         rows = rows.filter(F.col("event_type").isin(kinds_of(*entities)))
-    return rows
+    return spread(rows)
 
 
 def _listed(values: list) -> str:

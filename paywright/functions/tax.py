@@ -47,20 +47,22 @@ def schedule_of(filing_status: Column) -> Column:
     return F.when(F.lower(filing_status).isin(MARRIED_STATUSES), F.lit("married")).otherwise(F.lit("single"))
 
 
-def _taxed_slice(income: Column, lower: Column, upper: Column | None, rate: Column) -> Column:
-    capped = income if upper is None else F.least(income, upper)
-    return F.greatest(F.lit(0.0), capped - lower) * rate
-
-
-def federal_tax(gross: Column, filing_status: Column) -> Column:
-    """Progressive tax of one period: scale to a year, tax each bracket's slice, scale back."""
-    income = gross * float(PERIODS_PER_YEAR)
-    yearly = {}
-    for schedule, lower, upper, rate in bracket_rows():
-        part = _taxed_slice(income, F.lit(lower), None if upper is None else F.lit(upper), F.lit(rate))
-        yearly[schedule] = yearly[schedule] + part if schedule in yearly else part
-    tax = F.when(schedule_of(filing_status) == "married", yearly["married"]).otherwise(yearly["single"])
-    return round_cents(tax / float(PERIODS_PER_YEAR))
+def _yearly_tax(income: str, schedule: str) -> str:
+    """Sum over the brackets of the slice of ``income`` in each, as SQL text."""
+    slices = [
+        f"greatest(0.0D, {income if upper is None else f'least({income}, {upper}D)'} - {lower}D) * {rate}D"
+        for name, lower, upper, rate in bracket_rows()
+        if name == schedule
+    ]
+    return " + ".join(slices)
+
+
+def federal_tax(gross: str, filing_status: str) -> Column:
+    """Progressive tax of one period from two columns: scale to a year, tax each bracket's slice, scale back."""
+    income, years = f"({gross} * {PERIODS_PER_YEAR}.0D)", f"{PERIODS_PER_YEAR}.0D"
+    married = F.expr(f"({_yearly_tax(income, 'married')}) / {years}")
+    single = F.expr(f"({_yearly_tax(income, 'single')}) / {years}")
+    return round_cents(F.when(schedule_of(F.col(filing_status)) == "married", married).otherwise(single))
 
 
 def state_rate(state: Column) -> Column:

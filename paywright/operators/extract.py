@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paywright.functions import periods
 from paywright.functions.aggregates import latest_rows
-from paywright.functions.scalars import as_double, as_flag, round_half_even
+from paywright.functions.scalars import as_double, as_flag
 from paywright.sources.event_log import with_fields
 
 RATE_ENTRY = "__PAY_RATE__"
@@ -201,7 +203,15 @@ def deductions(events: DataFrame) -> DataFrame:
 
 
 def hours_worked(clock_in: Column, clock_out: Column) -> Column:
-    """Hours between two timestamps, half-even to cents; 0 while the entry is open."""
-    micros = (F.unix_micros(clock_out) - F.unix_micros(clock_in)).cast("decimal(20,0)")
-    hours = round_half_even(micros / F.lit(3600000000).cast("decimal(10,0)"), 2).cast("decimal(18,2)")
+    """Hours between two timestamps, half-even to cents; 0 while the entry is open.
+
+    Counted in whole hundredths of an hour with the remainder in microseconds, so the tie is exact and stays in long
+    arithmetic.
+    """
+    hundredth = F.lit(36_000_000)
+    micros = F.unix_micros(clock_out) - F.unix_micros(clock_in)
+    whole, rest = F.call_function("div", micros, hundredth), micros % hundredth
+    up = (rest * 2 > hundredth) | ((rest * 2 == hundredth) & (whole % 2 == 1))
+    rounded = whole + F.when(up, 1).otherwise(0)
+    hours = (rounded.cast("decimal(16,0)") * F.lit(Decimal("0.01"))).cast("decimal(18,2)")
     return F.coalesce(hours, F.lit(0).cast("decimal(18,2)"))

@@ -28,7 +28,7 @@ def breakdown(configured: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     amounts = gross_defaults(configured).withColumns(
         {
-            "federal_tax": F.when(has_tax, federal_tax(gross, F.col("federal_filing_status"))).otherwise(zero),
+            "federal_tax": F.when(has_tax, federal_tax("gross_pay", "federal_filing_status")).otherwise(zero),
             "state_tax": F.when(has_tax, state_tax(gross, F.col("state"))).otherwise(zero),
             "additional_federal_withholding": F.coalesce("additional_federal_withholding", zero),
             "additional_state_withholding": F.coalesce("additional_state_withholding", zero),

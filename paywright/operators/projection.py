@@ -126,24 +126,27 @@ def valid_pay_rows(net_pay: DataFrame) -> DataFrame:
     return net_pay.filter(F.col("employee_id").rlike(GUID))
 
 
-def with_period_acceptance(
-    net_pay: DataFrame, resets: DataFrame | None = None, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """Add ``accepted``: false for a row of an older period than one already seen for the employee.
+def pay_changes(net_pay: DataFrame, accepted: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Net-pay rows that count, in arrival order: the employee is known by then, and no newer period was seen before.
 
-    ``resets`` (employee_id, off) are deactivations, each of which forgets what was seen before it.
+    Every accepted deactivation of the employee forgets which period was newest. ``accepted`` are the employee's
+    accepted events; offsets of both inputs are of one log.
     """
     keys = ["employee_id"]
-    rows = net_pay
-    if resets is not None:
-        marks = resets.select("employee_id", "off", F.lit(1).alias("_mark"))
-        both = net_pay.withColumn("_mark", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-        counted = with_running(both, keys, {"_segment": Running("sum", F.col("_mark"), True)}, block_rows=block_rows)
-        rows, keys = counted.filter("_mark = 0").drop("_mark"), ["employee_id", "_segment"]
-    highest = {"_highest": Running("max", F.col("pay_period_number"))}
-    seen = with_running(rows, keys, highest, block_rows=block_rows)
-    accepted = F.col("_highest").isNull() | (F.col("pay_period_number") >= F.col("_highest"))
-    return seen.select(*net_pay.columns, accepted.alias("accepted"))
+    marks = accepted.select(
+        "employee_id", "off", F.lit(1).alias("_event"), (F.col("event_type") == "employee.deactivated").cast("int").alias("_reset")
+    )
+    rows = valid_pay_rows(net_pay).withColumns({"_event": F.lit(0), "_reset": F.lit(0)})
+    before = {
+        "_known": Running("max", F.col("_event"), include_current=True),
+        "_segment": Running("sum", F.col("_reset"), include_current=True),
+    }
+    placed = with_running(rows.unionByName(marks, allowMissingColumns=True), keys, before, block_rows=block_rows)
+    live = placed.filter((F.col("_event") == 0) & (F.col("_known") == 1)).drop("_event", "_reset", "_known")
+    newest = {"_newest": Running("max", F.col("pay_period_number"))}
+    seen = with_running(live, [*keys, "_segment"], newest, block_rows=block_rows)
+    counts = F.col("_newest").isNull() | (F.col("pay_period_number") >= F.col("_newest"))
+    return seen.filter(counts).select(*net_pay.columns)
 
 
 def pay_attributes(net_pay: DataFrame, records: DataFrame) -> DataFrame:
@@ -176,14 +179,6 @@ def sort_by(df: DataFrame, *specs: tuple[str, str]) -> DataFrame:
     return df.orderBy(*[directions[way.upper()](F.col(path)) for path, way in specs])
 
 
-def pay_changes(net_pay: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Pay rows that count: of known employees, after the record exists, and not of an older period."""
-    known = accepted.groupBy("employee_id").agg(F.min("off").alias("first_off"))
-    rows = join_one_per_key(valid_pay_rows(net_pay), known, ["employee_id"], "inner").filter("off > first_off")
-    resets = accepted.filter(F.col("event_type") == "employee.deactivated")
-    return with_period_acceptance(rows, resets).filter("accepted").drop("accepted", "first_off")
-
-
 def change_feed(accepted: DataFrame, net_pay: DataFrame | None = None) -> DataFrame:
     """One row per accepted event, plus ``payUpdated`` rows for the pay rows that count."""
     feed = accepted.select("off", "employee_id", change_type(F.col("event_type")).alias("change_type"))

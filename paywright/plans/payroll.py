@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paywright.operators import extract, netpay, pay, people
 from paywright.plans.search_documents import search_documents
+from paywright.session import materialize
 from paywright.sources.event_log import read_landed
 
 
@@ -58,8 +59,9 @@ class Payroll:
     def net_pay(self, mode: str = "snapshot", current_period: int | None = None) -> DataFrame:
         """``snapshot``: latest settings everywhere. ``asof``: each period keeps the settings it was computed with."""
         if mode == "asof":
+            gross = materialize(self.gross_pay(), "gross-pay")  # three branches read it
             return netpay.net_pay_asof(
-                self.gross_pay(), self.tax_events(), self.deduction_events(), current_period, self.deactivated()
+                gross, self.tax_events(), self.deduction_events(), current_period, self.deactivated()
             )
         if mode != "snapshot":
             raise ValueError(f"unknown mode {mode!r}")

@@ -19,11 +19,14 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet", streaming:
     return reader.load(path)
 
 
-def read_kafka_events(spark: SparkSession, servers: str, topic: str, streaming: bool = False, **options) -> DataFrame:
+def read_kafka_events(
+    spark: SparkSession, servers: str, topic: str, partitions: int, streaming: bool = False, **options
+) -> DataFrame:
     """Scan a Kafka topic from the earliest record, where the Kafka package is on the class path.
 
-    Offsets are per topic partition. ``off`` interleaves them into one distinct number, which keeps the order within a
-    partition; write an employee's events with the employee id as record key so that they share a partition.
+    Offsets are per topic partition. ``off`` interleaves them into one distinct number per record, which keeps the order
+    within a partition; ``partitions`` is the partition count of the topic, so that the numbers stay dense. Write an
+    employee's events with the employee id as record key so that they share a partition.
     """
     reader = (spark.readStream if streaming else spark.read).format("kafka")
     log = (
@@ -34,7 +37,7 @@ def read_kafka_events(spark: SparkSession, servers: str, topic: str, streaming:
         .load()
     )
     return log.select(
-        (F.col("offset") * F.lit(65536) + F.col("partition")).alias("off"),
+        (F.col("offset") * F.lit(partitions) + F.col("partition")).alias("off"),
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("value"),
     )
@@ -59,23 +62,37 @@ def events_of(raw: DataFrame, body_fallback: bool = False) -> DataFrame:
     return decode_envelope(raw, body_fallback).select("off", "data")
 
 
-def with_fields(events: DataFrame, *names: str, domain_event: bool = False) -> DataFrame:
+def with_fields(events: DataFrame, *names: str, domain_event: bool = False, either_case: bool = False) -> DataFrame:
     """(off, data) -> (off, event_type, *names), every field as text.
 
     ``json_tuple`` reads each payload once for all requested fields. As a generator it also keeps Catalyst from copying
     the parse into filters, which would read the same text once per predicate. The event name that counts is the one in
-    the payload's first domain event; a landed log already has it as a column that filters push down to.
+    the payload's first domain event; a landed log already has it as a column that filters push down to. With
+    ``either_case`` the members may also be spelt in camelCase.
     """
-    fields = F.json_tuple("data", "DomainEvents", *names).alias("_domain", *names)
+    wanted = ["DomainEvents", *names]
+    columns = {name: f"_{name}" for name in wanted}
+    lowered = {_camel(name): f"_low_{name}" for name in wanted} if either_case else {}
+    fields = F.json_tuple("data", *columns, *lowered).alias(*columns.values(), *lowered.values())
     landed = "event_type" in events.columns
     parsed = events.select("off", *(["event_type"] if landed else []), fields)
-    name = F.col("event_type") if landed else domain_field("EventType").alias("event_type")
-    return parsed.select("off", name, *names, *(["_domain"] if domain_event else []))
 
+    def field(name: str) -> Column:
+        return F.coalesce(columns[name], lowered[_camel(name)]) if either_case else F.col(columns[name])
 
-def domain_field(name: str) -> Column:
+    domain = parsed.withColumn("_domain", field("DomainEvents"))
+    name = F.col("event_type") if landed else domain_field("EventType", either_case).alias("event_type")
+    return domain.select("off", name, *[field(n).alias(n) for n in names], *(["_domain"] if domain_event else []))
+
+
+def domain_field(name: str, either_case: bool = False) -> Column:
     """A field of the payload's first domain event."""
-    return F.get_json_object("_domain", f"$[0].{name}")
+    exact = F.get_json_object("_domain", f"$[0].{name}")
+    return F.coalesce(exact, F.get_json_object("_domain", f"$[0].{_camel(name)}")) if either_case else exact
+
+
+def _camel(name: str) -> str:
+    return name[0].lower() + name[1:]
 
 
 EMPTY_ID = "00000000-0000-0000-0000-000000000000"
@@ -85,19 +102,21 @@ def resolve_identity(events: DataFrame, *names: str) -> DataFrame:
     """(off, employee_id, event_id, event_type, occurred_on, *names) for both payload forms.
 
     A payload that carries its own EventId and EventType is a projected event; otherwise it is an entity whose first
-    domain event tells what happened.
+    domain event tells what happened. Member names are read in PascalCase or camelCase.
     """
     own = ["Id", "EmployeeId", "EventId", "EventType", "OccurredOn"]
-    rows = with_fields(events, *own, *[n for n in names if n not in own], domain_event=True)
+    more = [n for n in names if n not in own]
+    rows = with_fields(events, *own, *more, domain_event=True, either_case=True)
+    nested = lambda name: domain_field(name, either_case=True)
     own_id = F.coalesce("EventId", F.lit(""))
     direct = ~own_id.isin(EMPTY_ID, "") & (F.coalesce("EventType", F.lit("")) != "")
     pick = lambda one, other: F.when(direct, one).otherwise(other)
     return rows.select(
         "off",
         pick(F.col("EmployeeId"), F.col("Id")).alias("employee_id"),
-        pick(F.col("EventId"), domain_field("EventId")).alias("event_id"),
-        pick(F.col("EventType"), F.coalesce(domain_field("EventType"), F.lit(""))).alias("event_type"),
-        pick(F.col("OccurredOn"), domain_field("OccurredOn")).try_cast("timestamp").alias("occurred_on"),
+        pick(F.col("EventId"), nested("EventId")).alias("event_id"),
+        pick(F.col("EventType"), F.coalesce(nested("EventType"), F.lit(""))).alias("event_type"),
+        pick(F.col("OccurredOn"), nested("OccurredOn")).try_cast("timestamp").alias("occurred_on"),
         *names,
     )
 

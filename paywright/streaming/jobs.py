@@ -24,7 +24,7 @@ from paywright.schemas import NET_PAY_KEYS
 from paywright.sources.changelog import to_changelog
 from paywright.sources.event_log import events_of
 from paywright.streaming.layouts import (
-    DEDUCTIONS, DOCUMENTS, FEED, GONE, GROSS, HOURS, INFO, NET, PARTIALS, RECORDS, TAX,
+    DEDUCTIONS, DOCUMENTS, FEED, GONE, GROSS, HOURS, INFO, NET, PARTIALS, PAY_ROWS, RECORDS, TAX,
 )
 from paywright.streaming.store import BATCH, DELETED, BatchStore
 
@@ -60,7 +60,13 @@ class PayStream:
 
     def process_events(self, events: DataFrame, batch_id: int) -> None:
         self.partials.write(pay.entry_partials(extract.gross_pay_events(events)), batch_id)
-        merged = pay.merge_partials(self._touched_partials(batch_id))
+        merged = pay.merge_partials(self._touched_partials(batch_id)).persist()
+        try:
+            self._write_totals(merged, batch_id)
+        finally:
+            merged.unpersist()
+
+    def _write_totals(self, merged: DataFrame, batch_id: int) -> None:
         gross = pay.gross_from_partials(merged)
         self.gross.write(gross.select(*GROSS.fieldNames()), batch_id)
         entries = merged.filter(F.col("time_entry_id") != extract.RATE_ENTRY)
@@ -188,16 +194,19 @@ class SearchStream:
 
 
 class ProjectionStream:
-    """Idempotent employee records and their change feed.
+    """Idempotent employee records, their pay rows and the change feed.
 
-    A batch is judged against the newest timestamp accepted in earlier batches, so a replayed or re-delivered log changes
-    nothing.
+    A batch of events is judged against the newest timestamp accepted in earlier batches, so a replayed or re-delivered
+    log changes nothing. Pay rows come from a second stream (``process_pay``) whose offsets belong to the same log; let it
+    run behind the events, since a pay row counts only once its employee is known.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.records = BatchStore(f"{folder}/records")
         self.feed = BatchStore(f"{folder}/change_feed")
+        self.pay_rows = BatchStore(f"{folder}/pay_rows")
+        self.pay_feed = BatchStore(f"{folder}/pay_feed")
 
     def process(self, raw: DataFrame, batch_id: int) -> None:
         changes = projection.employee_changes(events_of(raw))
@@ -209,12 +218,32 @@ class ProjectionStream:
         finally:
             accepted.unpersist()
 
+    def process_pay(self, net_pay: DataFrame, batch_id: int) -> None:
+        """One batch of net-pay rows (the columns of ``NET``); deleted ones say nothing here."""
+        rows = projection.valid_pay_rows(net_pay.filter(~F.col(DELETED)).select(*PAY_ROWS.fieldNames()))
+        self.pay_rows.write(rows, batch_id)
+        history = self.pay_rows.read(self.spark, PAY_ROWS, batch_id)
+        touched = history.filter(F.col(BATCH) == batch_id).select("employee_id").distinct()
+        known = join_one_per_key(history, touched, ["employee_id"], "left_semi")
+        events = self.change_feed().withColumn("event_type", F.concat(F.lit("employee."), "change_type"))
+        marks = join_one_per_key(events, touched, ["employee_id"], "left_semi")
+        counted = projection.pay_changes(known, marks).filter(F.col(BATCH) == batch_id)
+        self.pay_feed.write(counted.select("off", "employee_id", F.lit("payUpdated").alias("change_type")), batch_id)
+
     def record_table(self) -> DataFrame:
         return projection.record_from_partials(self.records.read(self.spark, RECORDS))
 
+    def pay_table(self) -> DataFrame:
+        """The pay row each employee shows now; deactivations seen since are taken into account."""
+        return projection.pay_attributes(self.pay_rows.read(self.spark, PAY_ROWS).drop(BATCH), self.record_table())
+
     def change_feed(self) -> DataFrame:
         return self.feed.read(self.spark, FEED).drop(BATCH)
 
+    def whole_feed(self) -> DataFrame:
+        """Changes of records and of pay."""
+        return self.change_feed().unionByName(self.pay_feed.read(self.spark, FEED).drop(BATCH))
+
 
 def start_employee_info(events: DataFrame, store: BatchStore, checkpoint: str) -> StreamingQuery:
     """The employee table as a native streaming aggregation: every batch emits the rows of the employees it touched."""

@@ -41,6 +41,7 @@ GONE = struct(employee_id=S)
 NET = T.StructType(
     [*struct(employee_id=S, pay_period_number=L), *NET_PAY_VALUE.fields, *struct(off=L, **{DELETED: B})]
 )
+PAY_ROWS = T.StructType([f for f in NET if f.name != DELETED])
 INFO = struct(
     employee_id=S,
     **{c: at_offset(D if c in ("pay_rate", "pay_period_hours") else S) for c in INFO_COLUMNS},

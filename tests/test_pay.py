@@ -116,7 +116,7 @@ def test_federal_tax_matches_a_loop(spark):
 
     cases = [(g, f) for g in (-5.0, 0.0, 100.0, 446.15, 1813.4, 9000.0, 40000.0) for f in ("Single", "MARRIED", None, "odd")]
     df = spark.createDataFrame(cases, "g double, f string")
-    for g, f, got in df.select("g", "f", tax.federal_tax(df.g, df.f)).collect():
+    for g, f, got in df.select("g", "f", tax.federal_tax("g", "f")).collect():
         table = tax.MARRIED_BRACKETS if (f or "").lower() in tax.MARRIED_STATUSES else tax.SINGLE_BRACKETS
         assert got == math.floor(_brackets(g * 26, table) / 26 * 100 + 0.5) / 100
 

@@ -93,6 +93,15 @@ def test_identity_of_both_payload_forms(make_events):
     assert got == [("row", "n1", "employee.created"), ("emp", "11111111-0000-0000-0000-000000000000", "employee.updated")]
 
 
+def test_members_in_camel_case(make_events):
+    import json
+
+    low = json.dumps({"id": "e", "firstName": "Ann", "domainEvents": [{"eventId": "x", "eventType": "employee.created",
+                                                                       "occurredOn": "2024-01-06T00:00:00Z"}]})
+    got = projection.employee_changes(make_events([low])).select("employee_id", "event_id", "fields.first_name")
+    assert rows(got) == [("e", "x", "Ann")]
+
+
 EMPS = ["00000000-0000-4000-8000-00000000000a", "00000000-0000-4000-8000-00000000000b"]
 
 

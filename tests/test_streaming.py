@@ -11,7 +11,7 @@ from paywright.session import scratch_dir
 from paywright.sources.changelog import table_from_changelog
 from paywright.sources.event_log import events_of, read_events
 from paywright.streaming import jobs
-from paywright.streaming.layouts import GROSS
+from paywright.streaming.layouts import GROSS, NET
 from paywright.streaming.store import BatchStore, compact
 
 KEYS = ("employee_id", "pay_period_number")
@@ -129,6 +129,25 @@ def test_projection_equals_its_batch_twin(spark, tmp_path):
     assert rows(job.change_feed(), "off") == rows(projection.change_feed(accepted), "off")
 
 
+def test_pay_rows_of_the_read_model(spark):
+    emp = "00000000-0000-4000-8000-00000000000a"
+    model = jobs.ProjectionStream(spark, scratch_dir(spark, "model"))
+    mark = lambda off, kind: (off, envelope(event(f"employee.{kind}", event_id=f"v{off}", Id=emp,
+                                                  occurred_on=f"2024-01-01T00:00:{off:02d}Z", FirstName="A")))
+    paid = lambda off, per: (emp, per, *[1.0] * 10, 1.0, "1", 1.0, "", "", off, False)
+    model.process(spark.createDataFrame([mark(2, "created")], RAW_LOG), 0)
+    model.process_pay(spark.createDataFrame([paid(1, 9), paid(3, 4), paid(4, 3)], NET), 0)
+    model.process_pay(spark.createDataFrame([paid(5, 4)], NET), 1)
+    assert rows(model.pay_table().select("pay_period_number", "off")) == [(4, 5)]
+    model.process(spark.createDataFrame([mark(6, "deactivated")], RAW_LOG), 1)
+    assert model.pay_table().count() == 0
+    model.process_pay(spark.createDataFrame([paid(7, 2)], NET), 2)
+    assert rows(model.pay_table().select("pay_period_number", "off")) == [(2, 7)]
+    assert rows(model.whole_feed(), "off") == [
+        (2, emp, "created"), (3, emp, "payUpdated"), (5, emp, "payUpdated"), (6, emp, "deactivated"), (7, emp, "payUpdated")
+    ]
+
+
 def test_rebuild_reports_what_it_dropped(spark, log_folder):
     path = scratch_dir(spark, "rebuild")
     log = read_events(spark, log_folder, "json")
