@@ -18,7 +18,7 @@ INFO_COLUMNS = [
 def info_partials(info_events: DataFrame) -> DataFrame:
     """Per employee, the latest value of every column that is not NULL together with its offset.
 
-    Partials of disjoint sets of events merge in any order (see ``info_from_partials``).
+    Partials of disjoint sets of events merge in any order.
     """
     off = F.col("off")
     kept = {**{c: c for c in INFO_COLUMNS}, "event_type": "last_event_type"}
@@ -34,12 +34,17 @@ def info_partials(info_events: DataFrame) -> DataFrame:
     )
 
 
-def info_from_partials(partials: DataFrame) -> DataFrame:
+def merge_info_partials(partials: DataFrame) -> DataFrame:
     return partials.groupBy("employee_id").agg(
-        *[F.max_by(F.col(f"{c}.v"), F.col(f"{c}.off")).alias(c) for c in [*INFO_COLUMNS, "last_event_type"]]
+        *[F.max_by(F.col(c), F.col(f"{c}.off")).alias(c) for c in [*INFO_COLUMNS, "last_event_type"]]
     )
 
 
+def info_from_partials(partials: DataFrame) -> DataFrame:
+    """Employee table from merged partials, one per employee."""
+    return partials.select("employee_id", *[F.col(f"{c}.v").alias(c) for c in [*INFO_COLUMNS, "last_event_type"]])
+
+
 def employee_info(info_events: DataFrame) -> DataFrame:
     """Current fields of each employee: the latest value of every column that is not NULL.
 
@@ -59,13 +64,17 @@ def tax_state(tax_events: DataFrame) -> DataFrame:
     return latest_rows(tax_events, ["employee_id"])
 
 
-def deduction_state(deduction_events: DataFrame) -> DataFrame:
-    """State of each deduction: ended ones keep the amount they had, an unknown one that ends has amount 0."""
+def deduction_state(deduction_events: DataFrame, with_offset: bool = False) -> DataFrame:
+    """State of each deduction: ended ones keep the amount they had, an unknown one that ends has amount 0.
+
+    With ``with_offset`` the rows carry their last offset and can stand in for the events they were made of.
+    """
     off = F.col("off")
     return deduction_events.groupBy("employee_id", "deduction_id").agg(
         F.coalesce(latest_present(F.col("amount"), off), F.lit(0.0)).alias("amount"),
         F.coalesce(latest_present(F.col("is_percentage"), off), F.lit(False)).alias("is_percentage"),
         latest(F.col("is_active"), off).alias("is_active"),
+        *([F.max(off).alias("off")] if with_offset else []),
     )
 
 

@@ -86,19 +86,23 @@ def record_partials(accepted: DataFrame) -> DataFrame:
     )
 
 
-def record_from_partials(partials: DataFrame) -> DataFrame:
-    merged = partials.groupBy("employee_id").agg(
-        F.max_by(F.col("fields.v"), F.col("fields.off")).alias("fields"),
+def merge_record_partials(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("employee_id").agg(
+        F.max_by("fields", F.col("fields.off")).alias("fields"),
         F.max_by("last", F.col("last.off")).alias("last"),
         F.min_by("first", F.col("first.off")).alias("first"),
         F.max("last_deactivated_off").alias("last_deactivated_off"),
     )
-    text = lambda c: F.coalesce(F.col(f"fields.{c}"), F.lit("")).alias(c)
-    return merged.select(
+
+
+def record_from_partials(partials: DataFrame) -> DataFrame:
+    """Records from merged partials, one per employee."""
+    text = lambda c: F.coalesce(F.col(f"fields.v.{c}"), F.lit("")).alias(c)
+    return partials.select(
         "employee_id",
         *[text(c) for c in ("first_name", "last_name", "email", "pay_type")],
-        F.col("fields.pay_rate").alias("pay_rate"),
-        F.coalesce("fields.pay_period_hours", F.lit(40).cast("decimal(18,2)")).alias("pay_period_hours"),
+        F.col("fields.v.pay_rate").alias("pay_rate"),
+        F.coalesce("fields.v.pay_period_hours", F.lit(40).cast("decimal(18,2)")).alias("pay_period_hours"),
         F.col("last.is_active").alias("is_active"),
         F.col("last.event_type").alias("last_event_type"),
         F.col("last.occurred_on").alias("last_event_timestamp"),

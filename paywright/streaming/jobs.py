@@ -1,8 +1,9 @@
 """Streaming payroll: log -> hours and gross pay -> net pay -> search documents, and the idempotent read model.
 
 Each job is a ``foreachBatch`` body made of the batch operators. A micro-batch is first reduced to partial aggregates (on
-the map side, so a hot employee is cheap), then only the keys it touched are recomputed. Events are kept as partials per
-batch, which merge in any order; there is no watermark and late events always count.
+the map side, so a hot employee is cheap), then only the keys it touched are recomputed. Time entries are kept as partials
+per batch, which merge in any order; settings and records as snapshots of one row per key. There is no watermark: late
+events always count.
 
 A per-employee state machine (``transformWithState`` keyed by employee) would send every row of a hot employee through
 one task, so it is not used.
@@ -17,16 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from paywright.functions.aggregates import latest_rows
 from paywright.functions.skew import join_one_per_key
 from paywright.operators import extract, netpay, pay, people, projection
-from paywright.plans.search_documents import search_documents
+from paywright.plans.search_documents import last_pay_periods, search_documents
 from paywright.schemas import NET_PAY_KEYS
 from paywright.sources.changelog import to_changelog
 from paywright.sources.event_log import events_of
 from paywright.streaming.layouts import (
     DEDUCTIONS, DOCUMENTS, FEED, GONE, GROSS, HOURS, INFO, NET, PARTIALS, PAY_ROWS, RECORDS, TAX,
 )
-from paywright.streaming.store import BATCH, DELETED, BatchStore
+from paywright.streaming.store import BATCH, DELETED, BatchStore, Snapshot
 
 MAX_PRUNED_PERIODS = 1000
 
@@ -52,8 +54,8 @@ class PayStream:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.partials = BatchStore(f"{folder}/partials", ("pay_period_number",))
-        self.hours = BatchStore(f"{folder}/hours")
-        self.gross = BatchStore(f"{folder}/gross")
+        self.hours = BatchStore(f"{folder}/hours", ("pay_period_number",))
+        self.gross = BatchStore(f"{folder}/gross", ("pay_period_number",))
 
     def process(self, raw: DataFrame, batch_id: int) -> None:
         self.process_events(events_of(raw), batch_id)
@@ -62,20 +64,18 @@ class PayStream:
         self.partials.write(pay.entry_partials(extract.gross_pay_events(events)), batch_id)
         merged = pay.merge_partials(self._touched_partials(batch_id)).persist()
         try:
-            self._write_totals(merged, batch_id)
+            self.gross.write(pay.gross_from_partials(merged).select(*GROSS.fieldNames()), batch_id)
+            self.hours.write(self._hours(merged).select(*HOURS.fieldNames()), batch_id)
         finally:
             merged.unpersist()
 
-    def _write_totals(self, merged: DataFrame, batch_id: int) -> None:
-        gross = pay.gross_from_partials(merged)
-        self.gross.write(gross.select(*GROSS.fieldNames()), batch_id)
+    @staticmethod
+    def _hours(merged: DataFrame) -> DataFrame:
         entries = merged.filter(F.col("time_entry_id") != extract.RATE_ENTRY)
-        hours = pay.with_period_bounds(
-            entries.groupBy(*pay.PERIOD_KEYS).agg(
-                pay.exact_sum(F.col("hours_worked")).alias("total_hours_worked"), F.sum("event_count").alias("event_count")
-            )
-        )
-        self.hours.write(hours.select(*HOURS.fieldNames()), batch_id)
+        totals = [
+            pay.exact_sum(F.col("hours_worked")).alias("total_hours_worked"), F.sum("event_count").alias("event_count"),
+        ]
+        return pay.with_period_bounds(entries.groupBy(*pay.PERIOD_KEYS).agg(*totals))
 
     def _touched_partials(self, batch_id: int) -> DataFrame:
         """Partials of all batches for the (employee, period) pairs of this one.
@@ -100,16 +100,18 @@ class PayStream:
 class NetPayStream:
     """Net pay from the log: recomputed where gross pay changed, and in the current period where settings changed.
 
-    Deactivated employees get tombstones for every period they had, now and for whatever arrives later.
+    Offsets follow arrival, so a row computed in this batch sees the settings left by the batches before (a snapshot) and
+    those of this batch up to its own offset. Deactivated employees get tombstones for every period they had, now and for
+    whatever arrives later.
     """
 
     def __init__(self, spark: SparkSession, folder: str, current_period: int | None = None):
         self.spark = spark
         self.current_period = current_period
         self.pay = PayStream(spark, folder)
-        self.tax = BatchStore(f"{folder}/tax")
-        self.deductions = BatchStore(f"{folder}/deductions")
-        self.gone = BatchStore(f"{folder}/deactivated")
+        self.tax = Snapshot(f"{folder}/tax", TAX)
+        self.deductions = Snapshot(f"{folder}/deductions", DEDUCTIONS)
+        self.gone = Snapshot(f"{folder}/deactivated", GONE)
         self.net = BatchStore(f"{folder}/net_pay")
 
     def process(self, raw: DataFrame, batch_id: int) -> None:
@@ -122,34 +124,37 @@ class NetPayStream:
     def process_events(self, events: DataFrame, batch_id: int) -> None:
         spark = self.spark
         self.pay.process_events(events, batch_id)
-        self.tax.write(extract.tax_events(events).select(*TAX.fieldNames()), batch_id)
-        self.deductions.write(extract.deduction_events(events).select(*DEDUCTIONS.fieldNames()), batch_id)
-        self.gone.write(people.deactivated_employees(events), batch_id)
+        new_tax, new_deductions = extract.tax_events(events), extract.deduction_events(events)
+        tax = self.tax.before(spark, batch_id).unionByName(new_tax)
+        deductions = self.deductions.before(spark, batch_id).unionByName(new_deductions.drop("event_type"))
+        newly_gone = people.deactivated_employees(events)
+        self.tax.write(latest_rows(tax, ["employee_id"]), batch_id)
+        self.deductions.write(people.deduction_state(deductions, with_offset=True), batch_id)
+        self.gone.write(self.gone.before(spark, batch_id).union(newly_gone).distinct(), batch_id)
+
+        gone = self.gone.after(spark, batch_id)
+        due = self._due(new_tax, new_deductions, batch_id)
+        employees = due.select("employee_id").distinct()
+        of_due = lambda rows: join_one_per_key(rows, employees, ["employee_id"], "left_semi")
+        live = netpay.net_pay_asof(due, of_due(tax), of_due(deductions), self.current_period, gone)
+        rows = live.withColumnRenamed("last_off", "off").withColumn(DELETED, F.lit(False))
 
-        tax = self.tax.read(spark, TAX, batch_id)
-        deductions = self.deductions.read(spark, DEDUCTIONS, batch_id)
-        gone = self.gone.read(spark, GONE, batch_id)
-        ever_gone = gone.select("employee_id").distinct()
-        gross = self.pay.gross.table(spark, GROSS, pay.PERIOD_KEYS, batch_id)
+        known = self.pay.gross.read(spark, GROSS, batch_id).select(*NET_PAY_KEYS)
+        dead = due.select(*NET_PAY_KEYS).join(gone, "employee_id", "left_semi")
+        dead = dead.union(known.join(newly_gone, "employee_id", "left_semi")).distinct().withColumn(DELETED, F.lit(True))
+        self.net.write(rows.unionByName(dead, allowMissingColumns=True).select(*NET.fieldNames()), batch_id)
 
+    def _due(self, new_tax: DataFrame, new_deductions: DataFrame, batch_id: int) -> DataFrame:
+        """Gross rows to compute: those this batch changed, and the current period of employees with new settings."""
         here = F.col(BATCH) == batch_id
-        changed = tax.filter(here).select("employee_id").union(deductions.filter(here).select("employee_id")).distinct()
+        gross = self.pay.gross.read(self.spark, GROSS, batch_id)
         due = gross.filter(here)
         if self.current_period is not None:
-            same = gross.filter(~here & (F.col("pay_period_number") == self.current_period))
+            changed = new_tax.select("employee_id").union(new_deductions.select("employee_id")).distinct()
+            current = gross.filter(F.col("pay_period_number") == self.current_period)
+            same = latest_rows(current, pay.PERIOD_KEYS, BATCH).filter(~here)
             due = due.unionByName(same.join(changed, "employee_id", "left_semi"))
-        due = due.drop(BATCH)
-        employees = due.select("employee_id").distinct()
-        of_due = lambda rows: join_one_per_key(rows.drop(BATCH), employees, ["employee_id"], "left_semi")
-
-        live = netpay.net_pay_asof(due, of_due(tax), of_due(deductions), self.current_period, ever_gone)
-        rows = live.withColumnRenamed("last_off", "off").withColumn(DELETED, F.lit(False))
-
-        newly = gone.filter(here).select("employee_id")
-        dead = due.join(ever_gone, "employee_id", "left_semi").select(*NET_PAY_KEYS)
-        dead = dead.union(gross.join(newly, "employee_id", "left_semi").select(*NET_PAY_KEYS)).distinct()
-        dead = dead.withColumn(DELETED, F.lit(True))
-        self.net.write(rows.unionByName(dead, allowMissingColumns=True).select(*NET.fieldNames()), batch_id)
+        return due.drop(BATCH)
 
     def net_pay_table(self) -> DataFrame:
         return self.net.table(self.spark, NET, NET_PAY_KEYS).drop(BATCH)
@@ -161,33 +166,45 @@ class NetPayStream:
 
 
 class SearchStream:
-    """Search documents, rebuilt for every employee whose fields or pay changed; inactive ones are deleted."""
+    """Search documents, rebuilt for every employee whose fields or pay changed; inactive ones are deleted.
+
+    The state is one row per employee plus its newest periods. Only deactivation deletes net-pay rows, and it deletes all
+    of an employee's, so older periods are never needed again.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, current_period: int | None = None):
         self.spark = spark
         self.net = NetPayStream(spark, folder, current_period)
-        self.info = BatchStore(f"{folder}/employee_info")
+        self.info = Snapshot(f"{folder}/employee_info", INFO)
+        self.periods = Snapshot(f"{folder}/last_periods", NET)
         self.documents = BatchStore(f"{folder}/documents")
 
     def process(self, raw: DataFrame, batch_id: int) -> None:
+        spark = self.spark
         events = events_of(raw).persist()
         try:
             self.net.process_events(events, batch_id)
-            self.info.write(people.info_partials(extract.employee_info_events(events)), batch_id)
+            new_info = people.info_partials(extract.employee_info_events(events)).persist()
+            merged = people.merge_info_partials(self.info.before(spark, batch_id).unionByName(new_info))
+            self.info.write(merged, batch_id)
+            touched = new_info.select("employee_id")
+            self._write_documents(touched, batch_id)
+            new_info.unpersist()
         finally:
             events.unpersist()
-        self.documents.write(self._rebuilt(batch_id).select(*DOCUMENTS.fieldNames()), batch_id)
 
-    def _rebuilt(self, batch_id: int) -> DataFrame:
-        info = self.info.read(self.spark, INFO, batch_id)
-        net = self.net.net.read(self.spark, NET, batch_id)
-        here = F.col(BATCH) == batch_id
-        touched = info.filter(here).select("employee_id").union(net.filter(here).select("employee_id")).distinct()
-        current = people.info_from_partials(info.join(touched, "employee_id", "left_semi"))
-        table = self.net.net.table(self.spark, NET, NET_PAY_KEYS, batch_id)
-        live = table.drop(BATCH).join(touched, "employee_id", "left_semi")
-        built = search_documents(current, live, include_inactive=True)
-        return built.withColumn(DELETED, ~F.col("is_active"))
+    def _write_documents(self, with_new_fields: DataFrame, batch_id: int) -> None:
+        spark = self.spark
+        new_pay = self.net.net.read(spark, NET, batch_id).filter(F.col(BATCH) == batch_id)
+        old_pay = self.periods.before(spark, batch_id).withColumn(BATCH, F.lit(-1).cast("bigint"))
+        newest = latest_rows(old_pay.unionByName(new_pay), NET_PAY_KEYS, BATCH).filter(~F.col(DELETED))
+        self.periods.write(last_pay_periods(newest), batch_id)
+
+        touched = with_new_fields.union(new_pay.select("employee_id")).distinct()
+        info = people.info_from_partials(self.info.after(spark, batch_id).join(touched, "employee_id", "left_semi"))
+        periods = self.periods.after(spark, batch_id).join(touched, "employee_id", "left_semi")
+        built = search_documents(info, periods, include_inactive=True).withColumn(DELETED, ~F.col("is_active"))
+        self.documents.write(built.select(*DOCUMENTS.fieldNames()), batch_id)
 
     def document_table(self) -> DataFrame:
         return self.documents.table(self.spark, DOCUMENTS, ["employee_id"]).drop(BATCH)
@@ -203,35 +220,53 @@ class ProjectionStream:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        self.records = BatchStore(f"{folder}/records")
+        self.state = Snapshot(f"{folder}/records", RECORDS)
+        self.records = BatchStore(f"{folder}/record_changes")
         self.feed = BatchStore(f"{folder}/change_feed")
-        self.pay_rows = BatchStore(f"{folder}/pay_rows")
-        self.pay_feed = BatchStore(f"{folder}/pay_feed")
+        self.shown = Snapshot(f"{folder}/last_counted", PAY_ROWS)
+        self.pay_rows = BatchStore(f"{folder}/pay_changes")
 
     def process(self, raw: DataFrame, batch_id: int) -> None:
+        before = self.state.before(self.spark, batch_id)
         changes = projection.employee_changes(events_of(raw))
-        prior = projection.record_from_partials(self.records.read(self.spark, RECORDS, batch_id - 1))
-        accepted = projection.accepted_events(changes, prior).persist()
+        accepted = projection.accepted_events(changes, projection.record_from_partials(before)).persist()
         try:
-            self.records.write(projection.record_partials(accepted), batch_id)
+            new = projection.record_partials(accepted)
+            self.state.write(projection.merge_record_partials(before.unionByName(new)), batch_id)
+            merged = self.state.after(self.spark, batch_id)
+            self.records.write(merged.join(new.select("employee_id"), "employee_id", "left_semi"), batch_id)
             self.feed.write(projection.change_feed(accepted), batch_id)
         finally:
             accepted.unpersist()
 
     def process_pay(self, net_pay: DataFrame, batch_id: int) -> None:
-        """One batch of net-pay rows (the columns of ``NET``); deleted ones say nothing here."""
+        """One batch of net-pay rows (the columns of ``NET``); deleted ones say nothing here.
+
+        The last row that counted stands for all before it: those that count never go back in period, except across a
+        deactivation, and deactivations are in the feed.
+        """
+        spark = self.spark
         rows = projection.valid_pay_rows(net_pay.filter(~F.col(DELETED)).select(*PAY_ROWS.fieldNames()))
-        self.pay_rows.write(rows, batch_id)
-        history = self.pay_rows.read(self.spark, PAY_ROWS, batch_id)
-        touched = history.filter(F.col(BATCH) == batch_id).select("employee_id").distinct()
-        known = join_one_per_key(history, touched, ["employee_id"], "left_semi")
-        events = self.change_feed().withColumn("event_type", F.concat(F.lit("employee."), "change_type"))
-        marks = join_one_per_key(events, touched, ["employee_id"], "left_semi")
-        counted = projection.pay_changes(known, marks).filter(F.col(BATCH) == batch_id)
-        self.pay_feed.write(counted.select("off", "employee_id", F.lit("payUpdated").alias("change_type")), batch_id)
+        before = self.shown.before(spark, batch_id)
+        known = before.withColumn("_new", F.lit(False)).unionByName(rows.withColumn("_new", F.lit(True)))
+        created = self._record_rows().select(
+            "employee_id", F.col("first.off").alias("off"), F.lit("employee.created").alias("event_type")
+        )
+        ended = self.change_feed().filter(F.col("change_type") == "deactivated").select(
+            "employee_id", "off", F.lit("employee.deactivated").alias("event_type")
+        )
+        counted = projection.pay_changes(known, created.union(ended)).persist()
+        try:
+            self.shown.write(latest_rows(counted.drop("_new"), ["employee_id"]), batch_id)
+            self.pay_rows.write(counted.filter("_new").drop("_new"), batch_id)
+        finally:
+            counted.unpersist()
+
+    def _record_rows(self) -> DataFrame:
+        return self.records.table(self.spark, RECORDS, ["employee_id"]).drop(BATCH)
 
     def record_table(self) -> DataFrame:
-        return projection.record_from_partials(self.records.read(self.spark, RECORDS))
+        return projection.record_from_partials(self._record_rows())
 
     def pay_table(self) -> DataFrame:
         """The pay row each employee shows now; deactivations seen since are taken into account."""
@@ -242,7 +277,8 @@ class ProjectionStream:
 
     def whole_feed(self) -> DataFrame:
         """Changes of records and of pay."""
-        return self.change_feed().unionByName(self.pay_feed.read(self.spark, FEED).drop(BATCH))
+        paid = self.pay_rows.read(self.spark, PAY_ROWS).select("off", "employee_id", F.lit("payUpdated").alias("change_type"))
+        return self.change_feed().unionByName(paid)
 
 
 def start_employee_info(events: DataFrame, store: BatchStore, checkpoint: str) -> StreamingQuery:

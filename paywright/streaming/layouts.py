@@ -36,7 +36,7 @@ TAX = struct(
     off=L, employee_id=S, federal_filing_status=S, state=S, additional_federal_withholding=D,
     additional_state_withholding=D,
 )
-DEDUCTIONS = struct(off=L, employee_id=S, deduction_id=S, event_type=S, amount=D, is_percentage=B, is_active=B)
+DEDUCTIONS = struct(off=L, employee_id=S, deduction_id=S, amount=D, is_percentage=B, is_active=B)
 GONE = struct(employee_id=S)
 NET = T.StructType(
     [*struct(employee_id=S, pay_period_number=L), *NET_PAY_VALUE.fields, *struct(off=L, **{DELETED: B})]

@@ -1,7 +1,8 @@
-"""Results of a streaming job on a shared file system, one folder per micro-batch.
+"""What streaming jobs keep on a shared file system, as plain Parquet folders.
 
-A micro-batch writes its folder whole, so a replayed batch replaces what its first attempt left behind, and a reader that
-asks for batches up to its own never sees later ones. Nothing is updated in place: tables are the latest row per key.
+``BatchStore`` appends one folder per micro-batch: a changelog. ``Snapshot`` holds a whole (small) state, written anew by
+each batch. Either way a batch writes its folder whole, so a replayed batch replaces what its first attempt left behind,
+and it reads only what earlier batches wrote. A job that starts over with a new checkpoint needs new folders.
 """
 
 from __future__ import annotations
@@ -48,3 +49,28 @@ def compact(spark: SparkSession, old: BatchStore, new: BatchStore, schema: T.Str
     """Write the table of ``old`` as the single batch ``upto`` of another store; restart the job on that one."""
     kept = latest_rows(old.read(spark, schema, upto), keys, BATCH).drop(BATCH)
     new.write(kept, upto)
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """State after a batch, in two alternating folders: a batch reads one and writes the other.
+
+    For state that grows with the number of employees, not with the log, so that writing it whole stays cheap and no
+    batch has to read the history.
+    """
+
+    path: str
+    schema: T.StructType
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.select(*self.schema.fieldNames()).write.mode("overwrite").parquet(self._slot(batch_id))
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """State left by the batch before; empty for the first one."""
+        return spark.createDataFrame([], self.schema) if batch_id == 0 else self.after(spark, batch_id - 1)
+
+    def after(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(self._slot(batch_id))
+
+    def _slot(self, batch_id: int) -> str:
+        return f"{self.path}/slot={batch_id % 2}"

@@ -114,7 +114,7 @@ def test_employee_info_skips_missing_fields(make_events):
            event("employee.deactivated", Id="a", IsActive=False)]
     got = people.employee_info(employee_info_events(make_events(log))).collect()[0]
     assert (got.first_name, got.pay_rate, got.is_active, got.last_event_type) == ("A", 10.0, "false", "employee.deactivated")
-    merged = people.info_from_partials(people.info_partials(employee_info_events(make_events(log)))).collect()[0]
+    merged = people.info_from_partials(people.merge_info_partials(people.info_partials(employee_info_events(make_events(log))))).collect()[0]
     assert merged == got
 
 
