@@ -24,7 +24,14 @@ def _log(spark: SparkSession, sf: str, *entities: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, log: DataFrame, job) -> None:
-    jobs.run(log, job.process, scratch_dir(spark, "checkpoint")).awaitTermination()
+    """Run a job to the end. A batch in fewer partitions than cores (a small file is one) is spread over them first."""
+    cores = spark.sparkContext.defaultParallelism
+
+    def body(raw: DataFrame, batch_id: int) -> None:
+        few = raw._jdf.rdd().getNumPartitions() < cores
+        job.process(raw.repartition(cores, "off") if few else raw, batch_id)
+
+    jobs.run(log, body, scratch_dir(spark, "checkpoint")).awaitTermination()
 
 
 @query

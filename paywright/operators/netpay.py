@@ -81,21 +81,29 @@ def net_pay_asof(
 
     A row is computed by its own last event (``last_off``). Setting changes recompute only ``current_period``, so rows of
     that period see the latest settings and older ones keep theirs. An employee has few periods; their offsets cut the
-    log into slots. Setting events are reduced per slot on the map side and only the slot results are carried forward,
-    so no window ever sees raw events.
+    log into slots. Setting events are reduced per slot on the map side, and one window per employee, over the slots
+    only, carries the results forward to the gross rows. No window ever sees raw events.
     """
     live = gross if deactivated is None else gross.join(deactivated, "employee_id", "left_anti")
     seen_at = F.col("last_off")
     if current_period is not None:
         seen_at = F.when(F.col("pay_period_number") == current_period, F.lit(_FOREVER)).otherwise(seen_at)
-    probes = live.withColumn("_seen_at", seen_at)
+    by_time = Window.partitionBy("employee_id").orderBy("_seen_at")
+    probes = live.withColumn("_seen_at", seen_at).withColumn("_slot", F.dense_rank().over(by_time) - 1)
     bounds = probes.groupBy("employee_id").agg(F.array_sort(F.collect_set("_seen_at")).alias("_bounds"))
-    slots = bounds.select("employee_id", F.posexplode("_bounds").alias("_slot", "_seen_at"))
 
-    settings = _carry_tax(_slotted(tax_events, bounds), slots)
-    totals = _carry_deductions(_slotted(deduction_events, bounds), slots)
-    by_slot = settings.join(totals, ["employee_id", "_slot"], "left").drop("_slot")
-    return breakdown(probes.join(by_slot, ["employee_id", "_seen_at"], "left"))
+    changes = probes.withColumn("_probe", F.lit(True))
+    for part in (_tax_by_slot(_slotted(tax_events, bounds)), _deductions_by_slot(_slotted(deduction_events, bounds))):
+        changes = changes.unionByName(part, allowMissingColumns=True)
+    so_far = Window.partitionBy("employee_id").orderBy("_slot").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    settled = changes.withColumns(
+        {
+            "_tax": F.last("_tax", ignorenulls=True).over(so_far),
+            "fixed_total": F.sum("_fixed").over(so_far).cast("double"),
+            "percent_share": F.sum("_share").over(so_far).cast("double"),
+        }
+    ).filter("_probe")
+    return breakdown(settled.select(*live.columns, "_tax.*", "fixed_total", "percent_share"))
 
 
 def _slotted(events: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -106,17 +114,12 @@ def _slotted(events: DataFrame, bounds: DataFrame) -> DataFrame:
     return placed.filter(F.col("_slot") < F.size("_bounds")).drop("_bounds")
 
 
-def _carry_tax(events: DataFrame, slots: DataFrame) -> DataFrame:
-    newest = events.groupBy("employee_id", "_slot").agg(F.max_by(F.struct(*_TAX_COLUMNS), "off").alias("_tax"))
-    order = Window.partitionBy("employee_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    carried = slots.join(newest, ["employee_id", "_slot"], "left").withColumn(
-        "_tax", F.last("_tax", ignorenulls=True).over(order)
-    )
-    return carried.select("employee_id", "_slot", "_seen_at", "_tax.*")
+def _tax_by_slot(events: DataFrame) -> DataFrame:
+    return events.groupBy("employee_id", "_slot").agg(F.max_by(F.struct(*_TAX_COLUMNS), "off").alias("_tax"))
 
 
-def _carry_deductions(events: DataFrame, slots: DataFrame) -> DataFrame:
-    """Running totals over slots from the change of each deduction's share; decimals make the differences cancel."""
+def _deductions_by_slot(events: DataFrame) -> DataFrame:
+    """How far each slot moves an employee's totals, in decimals so that a share that ends cancels exactly."""
     key = ["employee_id", "deduction_id"]
     terms = F.struct("amount", "is_percentage")
     newest = events.groupBy(*key, "_slot").agg(
@@ -127,25 +130,19 @@ def _carry_deductions(events: DataFrame, slots: DataFrame) -> DataFrame:
     state = newest.withColumn(
         "_terms", F.last("_terms", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
+    nothing = F.lit(0).cast("decimal(28,10)")
 
     def change(applies: Column, amount: Column) -> Column:
-        share = F.when(F.col("_active") & applies, amount.cast("decimal(28,10)")).otherwise(F.lit(0).cast("decimal(28,10)"))
-        return share - F.coalesce(F.lag(share).over(order), F.lit(0).cast("decimal(28,10)"))
+        share = F.when(F.col("_active") & applies, amount.cast("decimal(28,10)")).otherwise(nothing)
+        return share - F.coalesce(F.lag(share).over(order), nothing)
 
-    changes = state.select(
+    moved = state.select(
         "employee_id",
         "_slot",
         change(~F.col("_terms.is_percentage"), F.col("_terms.amount")).alias("_fixed"),
         change(F.col("_terms.is_percentage"), F.col("_terms.amount") / 100.0).alias("_share"),
     )
-    per_slot = changes.groupBy("employee_id", "_slot").agg(F.sum("_fixed").alias("_fixed"), F.sum("_share").alias("_share"))
-    running = Window.partitionBy("employee_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    return slots.join(per_slot, ["employee_id", "_slot"], "left").select(
-        "employee_id",
-        "_slot",
-        F.sum("_fixed").over(running).cast("double").alias("fixed_total"),
-        F.sum("_share").over(running).cast("double").alias("percent_share"),
-    )
+    return moved.groupBy("employee_id", "_slot").agg(F.sum("_fixed").alias("_fixed"), F.sum("_share").alias("_share"))
 
 
 def current_period_recompute(

@@ -133,7 +133,7 @@ class NetPayStream:
         self.gone.write(self.gone.before(spark, batch_id).union(newly_gone).distinct(), batch_id)
 
         gone = self.gone.after(spark, batch_id)
-        due = self._due(new_tax, new_deductions, batch_id)
+        due = self._due(new_tax, new_deductions, batch_id).persist()
         employees = due.select("employee_id").distinct()
         of_due = lambda rows: join_one_per_key(rows, employees, ["employee_id"], "left_semi")
         live = netpay.net_pay_asof(due, of_due(tax), of_due(deductions), self.current_period, gone)
@@ -143,6 +143,7 @@ class NetPayStream:
         dead = due.select(*NET_PAY_KEYS).join(gone, "employee_id", "left_semi")
         dead = dead.union(known.join(newly_gone, "employee_id", "left_semi")).distinct().withColumn(DELETED, F.lit(True))
         self.net.write(rows.unionByName(dead, allowMissingColumns=True).select(*NET.fieldNames()), batch_id)
+        due.unpersist()
 
     def _due(self, new_tax: DataFrame, new_deductions: DataFrame, batch_id: int) -> DataFrame:
         """Gross rows to compute: those this batch changed, and the current period of employees with new settings."""
