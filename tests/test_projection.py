@@ -196,3 +196,14 @@ def test_prefer_and_open_entry(spark):
     a = spark.createDataFrame([("1", "left")], "id string, v string")
     b = spark.createDataFrame([("1", "right"), ("2", "right")], "id string, v string")
     assert rows(lookups.prefer(a, b, "id"), "id") == [("1", "left"), ("2", "right")]
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_salted_join_is_a_plain_join(spark, how):
+    from paywright.functions.skew import join_one_per_key
+
+    df = spark.createDataFrame([(o, "hot" if o % 3 else f"k{o % 9}") for o in range(90)], "off bigint, k string")
+    one = spark.createDataFrame([("hot", 1), ("k0", 2)], "k string, v int")
+    for salts in (1, 7):
+        got = join_one_per_key(df, one, ["k"], how, salts=salts)
+        assert rows(got, "off") == rows(df.join(one, ["k"], how), "off")
