@@ -403,6 +403,7 @@ def _documents(spark, sf, include_inactive: bool = True) -> DataFrame:
 
 @query
 def last4_pay_periods(spark, sf):
+    """Newest periods per employee; two of them, since the log spans only three."""
     return last_pay_periods(_payroll(spark, sf).net_pay(), 2).select("employee_id", "pay_period_number", "net_pay")
 
 

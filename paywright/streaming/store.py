@@ -26,7 +26,9 @@ class BatchStore:
     partition_by: tuple[str, ...] = ()
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").partitionBy(*self.partition_by).parquet(f"{self.path}/{BATCH}={batch_id}")
+        # Static: a replayed batch must also drop partitions that only its first attempt wrote.
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*self.partition_by)
+        writer.parquet(f"{self.path}/{BATCH}={batch_id}")
 
     def read(self, spark: SparkSession, schema: T.StructType, upto: int | None = None) -> DataFrame:
         """All rows with their ``batch_id``; empty before anything is written."""
