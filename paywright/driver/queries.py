@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from paywright import schemas
 from paywright.driver import tables
 from paywright.functions import labels, periods, scalars, tax
-from paywright.operators import checks, extract, lookups, netpay, pay, people, projection
+from paywright.operators import checks, extract, lookups, netpay, people, projection
 from paywright.plans import filters
 from paywright.plans.payroll import Payroll
 from paywright.plans.search_documents import last_pay_periods, search_hits

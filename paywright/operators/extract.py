@@ -12,6 +12,7 @@ from paywright.functions.aggregates import latest_rows
 from paywright.functions.scalars import as_double, as_flag
 from paywright.sources.event_log import with_fields
 
+# Fixed value: the entry id under which rate changes are counted.
 RATE_ENTRY = "__PAY_RATE__"
 
 

@@ -17,6 +17,7 @@ from paywright.functions.scalars import exact_sum
 PERIOD_KEYS = ["employee_id", "pay_period_number"]
 ENTRY_KEYS = [*PERIOD_KEYS, "time_entry_id"]
 RATE_TERMS = ["pay_rate", "pay_type", "pay_period_hours"]
+# The code of salaried pay, and the hours a yearly rate is divided by.
 SALARY = "2"
 YEARLY_HOURS = 2080.0
 

@@ -22,6 +22,7 @@ CHOICE_FIELDS = {"pay_type", "is_active"}
 DATE_FIELDS = {"hire_date", "pay_periods.pay_period_start", "pay_periods.pay_period_end"}
 HIDDEN_FIELDS = {"employee_id"}
 
+# Fixed value: hits per page.
 PAGE_SIZE = 200
 
 # A word: letters, digits and underscores, joined by some marks between two letters or between two digits.

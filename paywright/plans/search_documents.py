@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from paywright.functions.scalars import unless_false
 from paywright.schemas import PAY_PERIOD_RECORD
 
+# Fixed value: periods kept in a document.
 MAX_PAY_PERIODS = 4
 
 

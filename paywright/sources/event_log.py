@@ -95,6 +95,7 @@ def _camel(name: str) -> str:
     return name[0].lower() + name[1:]
 
 
+# Fixed value: the id of an event that has none.
 EMPTY_ID = "00000000-0000-0000-0000-000000000000"
 
 
