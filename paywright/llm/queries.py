@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paywright.llm import html_main, lang_profile, piece_codec, quality, suffix_dedup, token_counts, toxicity
+from paywright.llm import html_main, lang_profile, ngram_join, piece_codec, quality, suffix_dedup, token_counts, toxicity
 from paywright.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.code_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
