@@ -164,10 +164,11 @@ class Memo:
             self.old, self.new = self.new, {}
         rest = keys.difference(self.new)
         if self.old:
-            kept = rest.intersection(self.old)
+            old = self.old
+            kept = [key for key in rest if key in old]
             for key in kept:
-                self.new[key] = self.old[key]
-            rest -= kept
+                self.new[key] = old[key]
+            rest.difference_update(kept)
         return rest
 
 
