@@ -89,10 +89,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column
         .where("y = top")
         .drop("top")
     )
+    # Ids are picked first, so that no text is shuffled or sorted; then only the picked texts are read.
     fit = docs.select("doc_id", "text").where(~held & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    joined = fit.join(known, "doc_id")
-    picked = [joined.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class) for v in (0, 1)]
-    return [(r["text"], r["y"]) for part in picked for r in part.select("text", "y").collect()]
+    ids = fit.select("doc_id").distinct().join(known, "doc_id")
+    picked = [r for v in (0, 1) for r in ids.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
+    label_of = {r["doc_id"]: r["y"] for r in picked}
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in label_of], docs.select("doc_id").schema)
+    rows = fit.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    return [(r["text"], label_of[r["doc_id"]]) for r in rows.limit(4 * per_class).toLocalIterator()]
 
 
 def components(edges: DataFrame) -> DataFrame:
