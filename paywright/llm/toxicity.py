@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 
 from paywright.llm.common import arrow_batches, fit_logistic, fold, labelled_sample, logistic
 
-PER_CLASS = 8000
+PER_CLASS = 3000
 MAX_TRAIN_BYTES = 32 << 10
 MINED = 160
+CHANCE = 3.0
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
@@ -46,17 +47,20 @@ def keys(text: str) -> Counter:
 def mine(rows: list[tuple[str, int]], most: int = MINED) -> list[str]:
     """Words and word beginnings that mark toxic texts of the training rows, each covering texts the others miss.
 
-    A key is taken when at least three toxic texts have it and its share among toxic texts is ten times that among the
-    others. Keys are taken by how many toxic texts with fewer than two hits they add, ties by key.
+    A key qualifies when its share among toxic texts is ten times that among the others and chance would not bring any
+    key that far: the bound on its probability at the base rate, times the number of keys tried, is below e^-3. Keys are taken by how many toxic texts with fewer than two hits they add, ties by key.
     """
-    toxic = [set(keys(t)) for t, y in rows if y == 1]
-    clean = Counter(k for t, y in rows if y == 0 for k in set(keys(t)))
+    toxic = [t for t, y in rows if y == 1]
+    seen = Counter(k for t in toxic for k in set(keys(t)))
+    often = {k for k, n in seen.items() if n >= 3}
+    clean = Counter(k for t, y in rows if y == 0 for k in often.intersection(keys(t)))
     n_clean = max(1, len(rows) - len(toxic))
-    seen = Counter(k for s in toxic for k in s)
-    good = {k for k, n in seen.items() if n >= 3 and n / len(toxic) >= 10 * (clean[k] + 0.5) / n_clean}
+    bar = np.log(max(2, len(often))) + CHANCE
+    base = min(max(len(toxic) / max(1, len(rows)), 1e-6), 1 - 1e-6)
+    good = {k for k in often if seen[k] / len(toxic) >= 10 * clean[k] / n_clean and _surprise(seen[k], seen[k] + clean[k], base) >= bar}
     holders: dict[str, list[int]] = {}
-    for i, s in enumerate(toxic):
-        for k in s & good:
+    for i, text in enumerate(toxic):
+        for k in good.intersection(keys(text)):
             holders.setdefault(k, []).append(i)
     hits = np.zeros(len(toxic), int)
     picked: list[str] = []
@@ -70,6 +74,15 @@ def mine(rows: list[tuple[str, int]], most: int = MINED) -> list[str]:
     return picked
 
 
+def _surprise(hits: int, of: int, rate: float) -> float:
+    """Bound on -log of the chance of so many hits among ``of`` at a base rate (Chernoff)."""
+    share = hits / of
+    if share <= rate:
+        return 0.0
+    rest = (1 - share) * np.log((1 - share) / (1 - rate)) if share < 1 else 0.0
+    return of * (share * np.log(share / rate) + rest)
+
+
 class LabelModel:
     """Two-class mixture over binary votes, fitted by expectation maximisation.
 
