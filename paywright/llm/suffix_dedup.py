@@ -48,7 +48,7 @@ class Runs:
         data = np.frombuffer(b"".join(texts), np.uint8)
         self.data = data
         empty = np.zeros(0, np.int64)
-        self.doc = self.first = self.last = empty
+        self.doc = self.first = self.last = self.at = empty
         self.anchor = self.context = np.zeros(0, np.uint64)
         n = len(data)
         if n < length:
@@ -98,6 +98,7 @@ class Runs:
         # The place of the anchor is part of the content's identity.
         self.context = _scrambled(content ^ ((at - begin).astype(np.uint64) * _MIX))
         self.first, self.last = begin - self.base[self.doc], end - self.base[self.doc]
+        self.at = at - begin
 
 
 def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -254,10 +255,13 @@ def merged(begin: np.ndarray, end: np.ndarray, of: np.ndarray | None = None) ->
 STRETCH = 2 << 20
 #: Contexts of one anchor that are sorted together; the strings of anchors with more are grouped by Spark.
 TOGETHER = 64
+HELD_BYTES = 6 << 20
 SORTED_BYTES = 1 << 20
+#: Starts whose strings share one core.
+CORE = 8
 NO_ID = (1 << 63) - 1
 
-RUNS = "h long, ctx long, did long, tag int, a int, b int"
+RUNS = "h long, ctx long, did long, tag int, a int, b int, p short"
 SPANS = "did long, tag int, a int, b int"
 
 
@@ -306,7 +310,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
         new = np.append(True, np.diff(kind[order]) != 0)
         again = np.sort(order[~new])
         keep = np.sort(order[new])
-        yield _rows(runs.anchor[keep].view(np.int64), runs.context[keep].view(np.int64), did[runs.doc[keep]], tag[runs.doc[keep]], a[keep], b[keep])
+        yield _rows(runs.anchor[keep].view(np.int64), runs.context[keep].view(np.int64), did[runs.doc[keep]], tag[runs.doc[keep]], a[keep], b[keep], runs.at[keep])
         # A repeat of a repeated row is no earlier string of itself.
         again = again[_not_itself(did, tag, offset, runs, kind, order, new, again)] if len(np.unique(did)) < len(did) else again
         if len(again):
@@ -314,7 +318,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
             ends = b[again][np.append(heads[1:], len(again)) - 1]
             none = pa.nulls(len(heads), pa.int64())
             of = runs.doc[again[heads]]
-            yield _rows(none, none, did[of], tag[of], a[again[heads]], ends)
+            yield _rows(none, none, did[of], tag[of], a[again[heads]], ends, pa.nulls(len(heads), pa.int16()))
 
 
 def _not_itself(did, tag, offset, runs, kind, order, new, again) -> np.ndarray:
@@ -324,45 +328,66 @@ def _not_itself(did, tag, offset, runs, kind, order, new, again) -> np.ndarray:
     return (did[x] != did[y]) | (runs.first[again] + offset[x] != runs.first[first[again]] + offset[y])
 
 
-def _rows(h, ctx, did, tag, a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h, pa.int64()), pa.array(ctx, pa.int64()), pa.array(did, pa.int64()), pa.array(tag, pa.int32()), pa.array(a, pa.int32()), pa.array(b, pa.int32())],
-        ["h", "ctx", "did", "tag", "a", "b"],
-    )
+def _rows(h, ctx, did, tag, a, b, p) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int16()]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((h, ctx, did, tag, a, b, p), kinds, strict=True)], ["h", "ctx", "did", "tag", "a", "b", "p"])
+
+
+BODIES = "h long, did long, tag int, a int, part binary, core long, strings binary"
 
 
 def _bodies(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Bytes of the runs to be sorted, and two hashes of every string of the runs to be grouped."""
+    """Bytes of the runs to be sorted; of the others, the hashes of their strings in rows of up to ``CORE`` starts.
+
+    Starts are cut at fixed distances from the anchor. The strings of one row share the bytes between its last possible
+    start and its first end, its core; equal strings stand in rows of equal cores.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
     for batch in batches:
-        h, did, tag, at, body, one, two = [], [], [], [], [], [], []
+        out: list[tuple] = []
         for d, t, text, runs in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
             for run in runs:
-                part = text[run["a"] : run["b"]]
+                h, at, p = run["h"], run["a"], run["p"]
+                part = text[at : run["b"]]
                 if run["together"]:
-                    rows = [(run["a"], part, None, None)]
-                else:
-                    rows = [(run["a"] + k, None, *_two_hashes(part[k : k + length])) for k in range(len(part) - length + 1)]
-                for row in rows:
-                    h.append(run["h"]), did.append(d), tag.append(t)
-                    at.append(row[0]), body.append(row[1]), one.append(row[2]), two.append(row[3])
+                    out.append((h, d, t, at, part, None, None))
+                    continue
+                k, last = 0, len(part) - length
+                while k <= last:
+                    block = (k - p) // CORE
+                    stop = min(last, p + CORE * block + CORE - 1)
+                    low = p + CORE * block + CORE - 1
+                    core = _hash(b"%d %d " % (h, block) + part[low : low + length - CORE + 1], 8)
+                    strings = b"".join([_hash(part[i : i + length], 16) for i in range(k, stop + 1)])
+                    out.append((h, d, t, at + k, None, int.from_bytes(core, "little", signed=True), strings))
+                    k = stop + 1
+        columns = list(zip(*out, strict=True)) if out else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "did", "tag", "a", "part", "core", "strings"])
+
+
+def _hash(data: bytes, size: int) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = batch.column(3).to_pylist()
+        count = np.array([len(r) // 16 for r in raw], np.int64)
+        pairs = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        did, tag, a = (np.repeat(batch.column(i).to_numpy(), count) for i in range(3))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h, pa.int64()), pa.array(did, pa.int64()), pa.array(tag, pa.int32()), pa.array(at, pa.int32()), pa.array(body, pa.binary()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
-            ["h", "did", "tag", "a", "part", "one", "two"],
+            [pa.array(did), pa.array(tag), pa.array((a + step).astype(np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["did", "tag", "a", "one", "two"]
         )
 
 
-def _two_hashes(string: bytes) -> tuple[int, int]:
-    digest = hashlib.blake2b(string, digest_size=16).digest()
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-
-
 def _sort_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Covered bytes of the runs, which come ordered by their anchor. Whole groups are sorted, many at a time."""
     held: list[tuple[int, int, int, int, bytes]] = []
     size = 0
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if size > SORTED_BYTES and row[0] != held[-1][0]:
+            if size > HELD_BYTES and row[0] != held[-1][0]:
                 yield from _sorted_spans(held, length)
                 held, size = [], 0
             held.append(row)
@@ -377,7 +402,9 @@ def _sorted_spans(held: list[tuple[int, int, int, int, bytes]], length: int) ->
     for row in held:
         weight[row[0]] = weight.get(row[0], 0) + len(row[4])
     held.sort(key=lambda r: (weight[r[0]].bit_length(), r[0]))
-    for _, some in itertools.groupby(held, key=lambda r: weight[r[0]].bit_length()):
+    size = np.cumsum([weight[h] for h, _ in itertools.groupby(held, key=lambda r: r[0])])
+    share = {h: (weight[h].bit_length(), int(size[k] - 1) // SORTED_BYTES) for k, (h, _) in enumerate(itertools.groupby(held, key=lambda r: r[0]))}
+    for _, some in itertools.groupby(held, key=lambda r: share[r[0]]):
         rows = list(some)
         h, did, tag, at = (np.array([r[i] for r in rows], np.int64) for i in range(4))
         group = np.cumsum(np.append(False, h[1:] != h[:-1]))
@@ -403,7 +430,7 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
 
     A hot anchor (a line that a third of all documents share) is never gathered: equal contexts are reduced by minima
     that combine before the shuffle, different ones are sorted together up to ``TOGETHER`` of them, and of anchors with
-    more, every string is grouped by its hash in Spark. All three ways find the same strings. Steps end in written
+    more, the strings that share a core are grouped by their hashes in Spark. All three ways find the same strings. Steps end in written
     tables, after which their shuffle files go.
     """
     spark = docs.sparkSession
@@ -418,7 +445,7 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     ordered = again.withColumn("place", _order(again))
     first = ordered.groupBy("h", "ctx").agg(F.min("place").alias("first"))
     marked = materialize(
-        ordered.join(first, ["h", "ctx"]).where("place > first or varied").select("h", "did", "tag", "a", "b", (F.col("place") == F.col("first")).alias("is_first")),
+        ordered.join(first, ["h", "ctx"]).where("place > first or varied").select("h", "did", "tag", "a", "b", "p", (F.col("place") == F.col("first")).alias("is_first")),
         "marked-runs",
     )
     whole = marked.where(~F.col("is_first")).select("did", "tag", "a", "b")
@@ -427,17 +454,20 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     lists = (
         contexts.join(counts, "h")
         .groupBy("did", "tag")
-        .agg(F.collect_list(F.struct("h", "a", "b", (F.col("n") <= TOGETHER).alias("together"))).alias("runs"))
+        .agg(F.collect_list(F.struct("h", "a", "b", "p", (F.col("n") <= TOGETHER).alias("together"))).alias("runs"))
     )
     bodies = materialize(
-        keyed.join(lists, ["did", "tag"]).select("did", "tag", "body", "runs").mapInArrow(lambda b: _bodies(b, length), "h long, did long, tag int, a int, part binary, one long, two long"),
+        keyed.join(lists, ["did", "tag"]).select("did", "tag", "body", "runs").mapInArrow(lambda b: _bodies(b, length), BODIES),
         "contexts",
     )
     sorted_ = (
         bodies.where(F.col("part").isNotNull()).select("h", "did", "tag", "a", "part").repartition("h").sortWithinPartitions("h", "did", "a")
         .mapInArrow(lambda b: _sort_groups(b, length), SPANS)
     )
-    strings = bodies.where(F.col("part").isNull()).select("did", "tag", "a", "one", "two")
+    packed = bodies.where(F.col("part").isNull()).select("core", "did", "tag", "a", "strings")
+    cores = packed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    strings = packed.join(cores, "core").select("did", "tag", "a", "strings").mapInArrow(_strings, "did long, tag int, a int, one long, two long")
+    strings = materialize(strings, "shared-strings")
     strings = strings.withColumn("place", _order(strings))
     earliest = strings.groupBy("one", "two").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
     grouped = strings.join(earliest, ["one", "two"]).where("place > first").select("did", "tag", "a", (F.col("a") + length).alias("b"))
