@@ -420,9 +420,9 @@ def _sorted_spans(held: list[tuple[int, int, int, int, bytes]], length: int) ->
             )
 
 
-def _order(frame: DataFrame) -> Column:
-    """One number for a place in the corpus, for minima that are combined before a shuffle."""
-    return frame["did"].cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + frame["a"]
+def _order_of(frame: DataFrame) -> DataFrame:
+    """With ``place``, one number for a place in the corpus, for minima that are combined before a shuffle."""
+    return frame.withColumn("place", F.col("did").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col("a"))
 
 
 def repeated_spans(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
@@ -430,8 +430,8 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
 
     A hot anchor (a line that a third of all documents share) is never gathered: equal contexts are reduced by minima
     that combine before the shuffle, different ones are sorted together up to ``TOGETHER`` of them, and of anchors with
-    more, the strings that share a core are grouped by their hashes in Spark. All three ways find the same strings. Steps end in written
-    tables, after which their shuffle files go.
+    more, the strings that share a core are grouped by their hashes in Spark. All three ways find the same strings.
+    Steps end in written tables, after which their shuffle files go.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
@@ -442,7 +442,7 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     inside = found.where(F.col("h").isNull()).select("did", "tag", "a", "b")
     shared = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
     again = materialize(runs.join(shared.select("h", (F.col("lo") != F.col("hi")).alias("varied")), "h"), "shared-runs")
-    ordered = again.withColumn("place", _order(again))
+    ordered = _order_of(again)
     first = ordered.groupBy("h", "ctx").agg(F.min("place").alias("first"))
     marked = materialize(
         ordered.join(first, ["h", "ctx"]).where("place > first or varied").select("h", "did", "tag", "a", "b", "p", (F.col("place") == F.col("first")).alias("is_first")),
@@ -464,14 +464,18 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
         bodies.where(F.col("part").isNotNull()).select("h", "did", "tag", "a", "part").repartition("h").sortWithinPartitions("h", "did", "a")
         .mapInArrow(lambda b: _sort_groups(b, length), SPANS)
     )
-    packed = bodies.where(F.col("part").isNull()).select("core", "did", "tag", "a", "strings")
+    # Inside a hot passage most rows hold the same strings: of those only the earliest one is taken apart.
+    packed = _order_of(bodies.where(F.col("part").isNull()).select("core", "did", "tag", "a", "strings", F.md5("strings").alias("same")))
+    heads = packed.groupBy("core", "same").agg(F.min("place").alias("first"))
+    packed = materialize(packed.join(heads, ["core", "same"]).select("core", "did", "tag", "a", "strings", (F.col("place") == F.col("first")).alias("is_first")), "string-rows")
+    copies = packed.where(~F.col("is_first")).select("did", "tag", "a", (F.col("a") + F.octet_length("strings") / 16 - 1 + length).cast("int").alias("b"))
+    packed = packed.where("is_first")
     cores = packed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     strings = packed.join(cores, "core").select("did", "tag", "a", "strings").mapInArrow(_strings, "did long, tag int, a int, one long, two long")
-    strings = materialize(strings, "shared-strings")
-    strings = strings.withColumn("place", _order(strings))
+    strings = _order_of(materialize(strings, "shared-strings"))
     earliest = strings.groupBy("one", "two").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
     grouped = strings.join(earliest, ["one", "two"]).where("place > first").select("did", "tag", "a", (F.col("a") + length).alias("b"))
-    return union_all([inside, whole, sorted_, grouped])
+    return union_all([inside, whole, sorted_, copies, grouped])
 
 
 def _removals(frame: DataFrame) -> DataFrame:
