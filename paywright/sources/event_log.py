@@ -99,6 +99,11 @@ def _camel(name: str) -> str:
 EMPTY_ID = "00000000-0000-0000-0000-000000000000"
 
 
+def is_direct(event_id: Column, event_type: Column) -> Column:
+    """Whether a payload is an event itself: it carries its own id and type."""
+    return ~F.coalesce(event_id, F.lit("")).isin(EMPTY_ID, "") & (F.coalesce(event_type, F.lit("")) != "")
+
+
 def resolve_identity(events: DataFrame, *names: str) -> DataFrame:
     """(off, employee_id, event_id, event_type, occurred_on, *names) for both payload forms.
 
@@ -109,8 +114,7 @@ def resolve_identity(events: DataFrame, *names: str) -> DataFrame:
     more = [n for n in names if n not in own]
     rows = with_fields(events, *own, *more, domain_event=True, either_case=True)
     nested = lambda name: domain_field(name, either_case=True)
-    own_id = F.coalesce("EventId", F.lit(""))
-    direct = ~own_id.isin(EMPTY_ID, "") & (F.coalesce("EventType", F.lit("")) != "")
+    direct = is_direct(F.col("EventId"), F.col("EventType"))
     pick = lambda one, other: F.when(direct, one).otherwise(other)
     return rows.select(
         "off",
@@ -127,13 +131,25 @@ def topic_of(event_type: Column) -> Column:
     return F.concat(scalars.event_prefix(event_type), F.lit("-events"))
 
 
+UNKNOWN_TOPIC = "unknown"
+
+
 def route(events: DataFrame) -> DataFrame:
-    """(off, event_type, topic, data)."""
-    named = events.select("off", F.json_tuple("data", "DomainEvents").alias("_domain"), "data")
-    name = domain_field("EventType")
-    return named.select("off", name.alias("event_type"), topic_of(name).alias("topic"), "data").filter(
-        F.col("event_type").isNotNull()
-    )
+    """(off, event_type, topic, data) of every record.
+
+    ``event_type`` names the first domain event, as in a log that was not landed. The topic follows the resolved type, so
+    a payload that is an event itself goes to its own topic; records without any type go to ``UNKNOWN_TOPIC``.
+    """
+    members = ["DomainEvents", "EventId", "EventType"]
+    names = [*members, *map(_camel, members)]
+    parts = ["_exact", "_id", "_type", "_low_domain", "_low_id", "_low_type"]
+    named = events.select("off", "data", F.json_tuple("data", *names).alias(*parts)).select(
+        "off", "data", "_exact", F.coalesce("_exact", "_low_domain").alias("_domain"),
+        F.coalesce("_id", "_low_id").alias("_id"), F.coalesce("_type", "_low_type").alias("_type"),
+    )
+    resolved = F.when(is_direct(F.col("_id"), F.col("_type")), F.col("_type")).otherwise(domain_field("EventType", either_case=True))
+    topic = F.when(F.coalesce(resolved, F.lit("")) == "", UNKNOWN_TOPIC).otherwise(topic_of(resolved))
+    return named.select("off", F.get_json_object("_exact", "$[0].EventType").alias("event_type"), topic.alias("topic"), "data")
 
 
 def land(raw: DataFrame, path: str, mode: str = "append") -> None:

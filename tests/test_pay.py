@@ -8,7 +8,7 @@ from scenario import payloads
 from paywright.functions import tax
 from paywright.operators import extract, netpay, pay, people
 from paywright.plans.payroll import Payroll
-from paywright.sources.event_log import land
+from paywright.sources.event_log import events_of, land, read_landed, resolve_identity
 
 
 def test_seed_hours(make_events):
@@ -233,3 +233,15 @@ def test_partials_merge_to_the_same_table(make_events):
     merged = pay.gross_from_partials(pay.merge_partials(halves[0].union(halves[1])))
     key = ("employee_id", "pay_period_number")
     assert rows(merged, *key) == rows(pay.gross_pay_by_period(events), *key)
+
+
+def test_landing_keeps_every_record(spark, make_log, tmp_path):
+    direct = {"EventId": "e-1", "EventType": "employee.updated", "EmployeeId": "x", "OccurredOn": "2024-01-02T08:00:00Z"}
+    untyped = {"Id": "y"}
+    raw = make_log([direct, untyped, *payloads()])
+    land(raw, str(tmp_path / "log"))
+    landed = read_landed(spark, str(tmp_path / "log"))
+    assert landed.count() == len(payloads()) + 2
+    seen = lambda events: sorted(tuple(r) for r in resolve_identity(events).select("off", "employee_id", "event_id", "event_type").collect())
+    assert seen(landed) == seen(events_of(raw))
+    assert {r["topic"] for r in spark.read.parquet(str(tmp_path / "log")).where("off < 2").select("topic").collect()} == {"employee-events", "unknown"}
