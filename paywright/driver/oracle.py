@@ -3,8 +3,27 @@
 from __future__ import annotations
 
 from paywright.driver.tables import EMPLOYEE_ID_STEM, FILINGS, SQL_LOG, STATES, _sql_pick
-from paywright.functions.labels import DEDUCTION_TYPES, PAY_TYPES
-from paywright.functions.tax import MARRIED_BRACKETS, SINGLE_BRACKETS, STATE_RATES
+
+# Fixed values, stated here once more so that a wrong one in the library shows.
+SINGLE_BRACKETS = [
+    (11600.0, 0.10), (47150.0, 0.12), (100525.0, 0.22), (191950.0, 0.24),
+    (243725.0, 0.32), (609350.0, 0.35), (None, 0.37),
+]
+MARRIED_BRACKETS = [
+    (23200.0, 0.10), (94300.0, 0.12), (201050.0, 0.22), (383900.0, 0.24),
+    (487450.0, 0.32), (731200.0, 0.35), (None, 0.37),
+]
+STATE_RATES = {
+    "AL": 0.0500, "AK": 0.0, "AZ": 0.0250, "AR": 0.0440, "CA": 0.0930, "CO": 0.0440, "CT": 0.0500, "DE": 0.0660,
+    "FL": 0.0, "GA": 0.0549, "HI": 0.0725, "ID": 0.0580, "IL": 0.0495, "IN": 0.0305, "IA": 0.0570, "KS": 0.0570,
+    "KY": 0.0400, "LA": 0.0425, "ME": 0.0715, "MD": 0.0575, "MA": 0.0500, "MI": 0.0425, "MN": 0.0985, "MS": 0.0500,
+    "MO": 0.0480, "MT": 0.0675, "NE": 0.0664, "NV": 0.0, "NH": 0.0, "NJ": 0.1075, "NM": 0.0590, "NY": 0.0685,
+    "NC": 0.0450, "ND": 0.0195, "OH": 0.0350, "OK": 0.0475, "OR": 0.0990, "PA": 0.0307, "RI": 0.0599, "SC": 0.0640,
+    "SD": 0.0, "TN": 0.0, "TX": 0.0, "UT": 0.0465, "VT": 0.0875, "VA": 0.0575, "WA": 0.0, "WV": 0.0512,
+    "WI": 0.0530, "WY": 0.0, "DC": 0.0895,
+}
+PAY_TYPES = {1: "Hourly", 2: "Salary"}
+DEDUCTION_TYPES = {1: "Health", 2: "Dental", 3: "Vision", 4: "Retirement401k", 5: "LifeInsurance", 99: "Other"}
 
 ORACLE: dict[str, str] = {}
 
@@ -230,13 +249,15 @@ incomes AS (
   FROM orders
 )"""
 _add("federal_tax", _with(_INCOMES) + f"SELECT o_orderkey, {federal('gross', 'filing')} AS federal_tax FROM incomes")
-_add("federal_tax_lookup", _with(_INCOMES) + f"SELECT o_orderkey, round({federal('gross', 'filing')}, 1) AS federal_tax FROM incomes")
+_add("federal_tax_lookup", _with(_INCOMES) + f"SELECT o_orderkey, {federal('gross', 'filing')} AS federal_tax FROM incomes")
 _add("state_tax", _with(_INCOMES) + f"""
 SELECT o_orderkey, {rate_of('state')} AS state_rate, {state_tax('gross', rate_of('state'))} AS state_tax FROM incomes""")
 _add("net_pay", _with(*NET) + "SELECT * EXCLUDE (last_off) FROM net")
 _SEEN = "CASE WHEN per = 2 THEN 9223372036854775807 ELSE last_off END"
-_ASOF = f"""
-probes AS (SELECT *, {_SEEN} AS seen_at FROM gross_pay WHERE emp NOT IN (SELECT emp FROM gone)),
+def asof(live: str) -> str:
+    """As-of settings of the gross rows that ``live`` (a condition) leaves."""
+    return f"""
+probes AS (SELECT *, {_SEEN} AS seen_at FROM gross_pay WHERE {live}),
 asof_tax AS (
   SELECT p.emp, p.per, arg_max(filing, l.off) AS filing, arg_max(state, l.off) AS state, arg_max(extra_federal, l.off) AS xf,
     arg_max(extra_state, l.off) AS xs
@@ -252,6 +273,9 @@ asof_totals AS (
     {exact('CASE WHEN active AND pct THEN amount / 100.0::DOUBLE END')} AS percent_share
   FROM asof_ded GROUP BY emp, per
 )"""
+
+
+_ASOF = asof("emp NOT IN (SELECT emp FROM gone)")
 _add("net_pay_asof", _with(
     SQL_LOG, GROSS_EVENTS, GROSS, DEDUCTIONS, GONE, _ASOF,
     breakdown("net", "(SELECT * FROM probes LEFT JOIN asof_tax USING (emp, per) LEFT JOIN asof_totals USING (emp, per))"),
@@ -326,11 +350,16 @@ record AS (
     coalesce(MAX(off) FILTER (event_type = 'employee.deactivated'), -1) AS reset_off
   FROM (SELECT *, event_type IN ('employee.created', 'employee.updated') AS f FROM accepted) GROUP BY emp
 )"""
-PAY_ROWS = [GROSS_EVENTS, GROSS, DEDUCTIONS, TAX, breakdown("paid", NET_JOIN)]
+# A row is shown as of the event that caused it: its own last one, in the current period (2) also a later setting.
+CAUSED = """(
+  SELECT * REPLACE (CASE WHEN per = 2 THEN greatest(last_off, coalesce(moved, last_off)) ELSE last_off END AS last_off)
+  FROM probes LEFT JOIN asof_tax USING (emp, per) LEFT JOIN asof_totals USING (emp, per)
+  LEFT JOIN (SELECT emp, MAX(off) AS moved FROM log WHERE kind IN ('error', 'purchase') GROUP BY emp) USING (emp))"""
+PAY_ROWS = [GROSS_EVENTS, GROSS, DEDUCTIONS, asof("true"), breakdown("paid", CAUSED)]
 SHOWN = """
 shown AS (
   SELECT p.* REPLACE (last_off * 2 AS last_off) FROM paid p JOIN record r ON p.employee_id = r.emp
-  WHERE p.last_off * 2 > reset_off AND p.last_off * 2 > first_off
+  WHERE p.last_off * 2 > reset_off AND p.last_off * 2 >= first_off
   QUALIFY row_number() OVER (PARTITION BY employee_id ORDER BY pay_period_number DESC, last_off DESC) = 1
 )"""
 _add("accepted_events", _with(SQL_LOG, ACCEPTED) + """
@@ -351,7 +380,7 @@ resets AS (SELECT emp, off FROM accepted WHERE event_type = 'employee.deactivate
 known_pay AS (
   SELECT p.employee_id, p.pay_period_number AS per, p.last_off * 2 AS off,
     (SELECT COUNT(*) FROM resets d WHERE d.emp = p.employee_id AND d.off <= p.last_off * 2) AS segment
-  FROM paid p JOIN record r ON p.employee_id = r.emp WHERE p.last_off * 2 > first_off
+  FROM paid p JOIN record r ON p.employee_id = r.emp WHERE p.last_off * 2 >= first_off
 ),
 feed AS (
   SELECT off, emp AS employee_id, split_part(event_type, '.', 2) AS change_type FROM accepted
@@ -361,8 +390,8 @@ feed AS (
     FROM known_pay) WHERE top IS NULL OR per >= top
 )"""
 _add("change_feed", _with(SQL_LOG, ACCEPTED, RECORD, *PAY_ROWS, FEED) + "SELECT off, employee_id, change_type FROM feed")
-_add("change_feed_newest", _with(SQL_LOG, ACCEPTED) + """
-SELECT off, emp AS employee_id, split_part(event_type, '.', 2) AS change_type FROM accepted ORDER BY off DESC LIMIT 50""")
+_add("change_feed_newest", _with(SQL_LOG, ACCEPTED, RECORD, *PAY_ROWS, FEED) + """
+SELECT off, employee_id, change_type FROM feed ORDER BY off DESC, employee_id, change_type LIMIT 50""")
 _add("cascade_deactivation", _with(SQL_LOG, *PAY_ROWS, GONE) + """
 SELECT employee_id, pay_period_number, net_pay FROM paid WHERE employee_id NOT IN (SELECT emp FROM gone)""")
 
@@ -429,8 +458,13 @@ records AS (
 )
 SELECT topic, COUNT(*) AS records, CAST(SUM(live) AS BIGINT) AS live, CAST(SUM(length(key)) AS BIGINT) AS key_chars FROM records GROUP BY topic""")
 _add("ref_check", _with(SQL_LOG) + """
-SELECT off, emp AS employee_id, emp IN (SELECT emp FROM log WHERE event_type = 'employee.created') AS accepted
-FROM log WHERE kind = 'purchase'""")
+SELECT off, l.emp AS employee_id, coalesce(off > since, false) AS accepted
+FROM log l LEFT JOIN (SELECT emp, MIN(off) AS since FROM log WHERE event_type = 'employee.created' GROUP BY emp) c ON c.emp = l.emp
+WHERE kind = 'purchase'""")
+_add("target_check", _with(SQL_LOG) + """
+SELECT off, l.id AS deduction_id, coalesce(off > since, false) AS accepted
+FROM log l LEFT JOIN (SELECT id, MIN(off) AS since FROM log WHERE event_type = 'deduction.created' GROUP BY id) c ON c.id = l.id
+WHERE kind = 'purchase' AND event_type <> 'deduction.created'""")
 _add("uniqueness_check", _with(SQL_LOG) + """
 , clock AS (
   SELECT off, emp, event_type = 'timeentry.clockedin' AS is_in,
@@ -469,18 +503,37 @@ _add("stream_projection", _with(SQL_LOG, ACCEPTED, RECORD) + """
 SELECT emp AS employee_id, first_name, is_active, last_event_type, last_event_id, epoch_us(last_event) AS last_event_us FROM record""")
 _add("stream_change_feed", _with(SQL_LOG, ACCEPTED) + """
 SELECT off, emp AS employee_id, split_part(event_type, '.', 2) AS change_type FROM accepted""")
+# The log arrives in five parts of equal offset range. Each part emits the pay rows it touched, and in the current period
+# those of employees whose settings changed, unless the employee was deactivated by then.
 _add("stream_pay_updates", _with(
-    SQL_LOG, GROSS_EVENTS, GROSS, GONE,
+    SQL_LOG, GROSS_EVENTS,
     ACCEPTED.replace("UNION ALL SELECT * REPLACE ((off + 40) * 2 + 1 AS off) FROM log WHERE kind = 'signup' AND off % 10 = 0", ""),
 ) + """
-, firsts AS (SELECT emp, MIN(off) AS first_off FROM accepted GROUP BY emp),
-rows AS (
-  SELECT emp, per, last_off * 2 AS off FROM gross_pay JOIN firsts USING (emp)
-  WHERE emp NOT IN (SELECT emp FROM gone) AND last_off * 2 > first_off
+, parts AS (SELECT MAX(event_id) + 1 AS n FROM events),
+gross_at AS (SELECT emp, per, off, off * 5 // n AS part FROM gpe, parts),
+setting_at AS (SELECT emp, off, off * 5 // n AS part FROM log, parts WHERE kind IN ('error', 'purchase')),
+gone_at AS (SELECT emp, MIN(off * 5 // n) AS part FROM log, parts WHERE event_type = 'employee.deactivated' GROUP BY emp),
+due AS (
+  SELECT emp, per, part FROM gross_at
+  UNION SELECT s.emp, 2, s.part FROM setting_at s JOIN gross_at g ON g.emp = s.emp AND g.per = 2 AND g.part <= s.part
+),
+causes AS (
+  SELECT d.emp, d.per, d.part, g.off FROM due d JOIN gross_at g ON g.emp = d.emp AND g.per = d.per AND g.part <= d.part
+  UNION ALL SELECT d.emp, d.per, d.part, s.off FROM due d JOIN setting_at s ON s.emp = d.emp AND s.part <= d.part WHERE d.per = 2
+),
+emitted AS (
+  SELECT c.emp, per, c.part, MAX(off) AS off FROM causes c LEFT JOIN gone_at x ON x.emp = c.emp
+  WHERE x.emp IS NULL OR x.part > c.part GROUP BY ALL
+),
+firsts AS (SELECT emp, MIN(off) // 2 AS first_off FROM accepted GROUP BY emp),
+placed AS (
+  SELECT e.*, (SELECT COUNT(*) FROM accepted a WHERE a.emp = e.emp AND a.event_type = 'employee.deactivated' AND a.off // 2 <= e.off) AS segment
+  FROM emitted e JOIN firsts f ON f.emp = e.emp WHERE e.off >= first_off
 ),
 counted AS (
-  SELECT * FROM rows QUALIFY per >= coalesce(
-    MAX(per) OVER (PARTITION BY emp ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), per)
+  SELECT * FROM placed QUALIFY per >= coalesce(
+    MAX(per) OVER (PARTITION BY emp, segment ORDER BY off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), per)
 )
 SELECT off // 2 AS off, emp AS employee_id, split_part(event_type, '.', 2) AS change_type FROM accepted
-UNION ALL SELECT off // 2, emp, 'payUpdated' FROM counted""")
+UNION ALL SELECT off, emp, 'payUpdated' FROM counted""")
+_add("stream_replay", ORACLE["gross_pay_by_period"])

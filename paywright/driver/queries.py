@@ -196,9 +196,7 @@ def federal_tax(spark, sf):
 @query
 def federal_tax_lookup(spark, sf):
     """The same tax by range join with the bracket table."""
-    return tax.with_federal_tax_by_lookup(_incomes(spark, sf), ["o_orderkey"], "gross_pay", "filing").select(
-        "o_orderkey", F.round("federal_tax", 1).alias("federal_tax")
-    )
+    return tax.with_federal_tax_by_lookup(_incomes(spark, sf), "gross_pay", "filing").select("o_orderkey", "federal_tax")
 
 
 @query
@@ -215,7 +213,7 @@ def net_pay(spark, sf):
 
 @query
 def net_pay_asof(spark, sf):
-    return _payroll(spark, sf).net_pay("asof", current_period=2).drop("last_off")
+    return _payroll(spark, sf).net_pay("asof", current_period=2).drop("last_off", "emitted_off")
 
 
 @query
@@ -319,10 +317,11 @@ def _accepted(spark, sf) -> DataFrame:
 
 
 def _pay_rows(spark, sf) -> DataFrame:
-    """Net pay as a log: each row arrives with the last event that shaped it (offsets doubled like the re-sent log's)."""
+    """Net pay as a log: each row arrives with the event that caused it (offsets doubled like the re-sent log's)."""
     rows = _payroll(spark, sf)
-    paid = netpay.net_pay(rows.gross_pay(), rows.tax_state(), rows.deduction_totals())
-    return paid.withColumn("off", F.col("last_off") * 2).drop("last_off")
+    gross = materialize(rows.gross_pay(), "gross-pay")
+    paid = netpay.net_pay_asof(gross, rows.tax_events(), rows.deduction_events(), current_period=2)
+    return paid.withColumn("off", F.col("emitted_off") * 2).drop("last_off", "emitted_off")
 
 
 @query
@@ -384,7 +383,7 @@ def change_feed(spark, sf):
 
 @query
 def change_feed_newest(spark, sf):
-    return projection.newest(projection.change_feed(_accepted(spark, sf)))
+    return projection.newest(change_feed(spark, sf))
 
 
 @query
@@ -564,12 +563,20 @@ def union_outputs(spark, sf):
 
 @query
 def ref_check(spark, sf):
-    """Deduction events against employees known from employee events of period 0."""
+    """Deduction events against employees created before them."""
     rows = _payroll(spark, sf).deduction_events()
     known = extract.employee_info_events(tables.events(spark, sf, "employee")).filter(F.col("event_type") == "employee.created")
     return checks.check_reference(rows, known, "employee_id").select("off", "employee_id", "accepted")
 
 
+@query
+def target_check(spark, sf):
+    """Updates and deactivations of deductions against the deductions created before them."""
+    rows = _payroll(spark, sf).deduction_events()
+    made = F.col("event_type") == "deduction.created"
+    return checks.check_reference(rows.filter(~made), rows.filter(made), "deduction_id").select("off", "deduction_id", "accepted")
+
+
 @query
 def uniqueness_check(spark, sf):
     """Second tax rows, and clock events that do not fit what the employee did before."""

@@ -20,7 +20,6 @@ DEDUCTION_CODES = [1, 2, 3, 4, 5, 99]
 ENTITY_OF = {"click": "timeentry", "view": "timeentry", "signup": "employee", "purchase": "deduction", "error": "taxinfo"}
 EMPLOYEE_ID_STEM = "00000000-0000-4000-8000-"
 EVENT_ID_STEM = "00000000-0000-4000-9000-"
-SPLIT_BYTES = 4 << 20
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
@@ -51,17 +50,12 @@ def kinds_of(*entities: str) -> list[str]:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Give every core a share of an input that is smaller than one file split per core.
+    """One exchange of the plain rows before JSON is built, at every size.
 
-    Building and parsing JSON is the costly part here, and a small file is read by a single task. The known size decides:
-    a table of many splits is left as it is, so nothing large is ever shuffled for this.
+    The branches of a query share it, so the table is scanned once however many of them there are, and every core gets
+    rows to build and parse even where the table is a single file split.
     """
-    spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < cores * SPLIT_BYTES:
-        return rows.repartition(cores, "event_id")
-    return rows
+    return rows.repartition("event_id")
 
 
 def event_rows(spark: SparkSession, sf_dir: str, *entities: str) -> DataFrame:

@@ -33,12 +33,15 @@ STATE_RATES = {
 }
 
 
-def bracket_rows() -> list[tuple[str, float, float | None, float]]:
-    """(schedule, lower, upper, rate) for both schedules."""
+def bracket_rows() -> list[tuple[str, float, float | None, float, float]]:
+    """(schedule, lower, upper, rate, tax due on the brackets below) for both schedules."""
     rows = []
     for schedule, brackets in (("single", SINGLE_BRACKETS), ("married", MARRIED_BRACKETS)):
-        lowers = [0.0] + [upper for upper, _ in brackets[:-1]]
-        rows += [(schedule, lower, upper, rate) for lower, (upper, rate) in zip(lowers, brackets)]
+        lower = below = 0.0
+        for upper, rate in brackets:
+            rows.append((schedule, lower, upper, rate, below))
+            if upper is not None:
+                lower, below = upper, below + (upper - lower) * rate
     return rows
 
 
@@ -51,7 +54,7 @@ def _yearly_tax(income: str, schedule: str) -> str:
     """Sum over the brackets of the slice of ``income`` in each, as SQL text."""
     slices = [
         f"greatest(0.0D, {income if upper is None else f'least({income}, {upper}D)'} - {lower}D) * {rate}D"
-        for name, lower, upper, rate in bracket_rows()
+        for name, lower, upper, rate, _ in bracket_rows()
         if name == schedule
     ]
     return " + ".join(slices)
@@ -81,9 +84,11 @@ def state_tax(gross: Column, state: Column) -> Column:
 
 
 def bracket_table(spark: SparkSession) -> DataFrame:
-    """Fourteen fixed rows: (schedule, lower_bound, upper_bound, rate), the open upper bound as infinity."""
-    rows = [(s, lo, float("inf") if up is None else up, r) for s, lo, up, r in bracket_rows()]
-    return spark.createDataFrame(rows, "schedule string, lower_bound double, upper_bound double, rate double")
+    """Fourteen fixed rows: (schedule, lower_bound, upper_bound, rate, tax_below), the open upper bound as infinity."""
+    rows = [(s, lo, float("inf") if up is None else up, r, below) for s, lo, up, r, below in bracket_rows()]
+    return spark.createDataFrame(
+        rows, "schedule string, lower_bound double, upper_bound double, rate double, tax_below double"
+    )
 
 
 def state_rate_table(spark: SparkSession) -> DataFrame:
@@ -91,21 +96,20 @@ def state_rate_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(STATE_RATES.items()), "state_code string, state_rate double")
 
 
-def with_federal_tax_by_lookup(df: DataFrame, row_id: list[str], gross: str, filing_status: str) -> DataFrame:
-    """Bracket lookup as a range join: each income meets the brackets it reaches, then the slices are summed.
+def with_federal_tax_by_lookup(df: DataFrame, gross: str, filing_status: str) -> DataFrame:
+    """Adds ``federal_tax`` by a range join: each income meets the one bracket it ends in, without a shuffle.
 
-    The bracket table has fourteen rows whatever the data, so broadcasting it is safe. ``row_id`` names a unique row.
+    The bracket table has fourteen rows whatever the data, so broadcasting it is safe. No income, or none above zero,
+    meets no bracket and owes nothing.
     """
     income = df.withColumns(
         {"_income": F.col(gross) * float(PERIODS_PER_YEAR), "_schedule": schedule_of(F.col(filing_status))}
     )
     brackets = F.broadcast(bracket_table(df.sparkSession))
-    reached = (F.col("_schedule") == F.col("schedule")) & (F.col("_income") > F.col("lower_bound"))
-    part = (F.least("_income", "upper_bound") - F.col("lower_bound")) * F.col("rate")
-    return (
-        income.join(brackets, reached, "left")
-        .groupBy(*row_id, gross, filing_status)
-        .agg(round_cents(F.coalesce(F.sum(part), F.lit(0.0)) / float(PERIODS_PER_YEAR)).alias("federal_tax"))
+    ends_in = (F.col("_schedule") == F.col("schedule")) & F.col("_income").between(F.col("lower_bound"), F.col("upper_bound"))
+    due = F.col("tax_below") + (F.col("_income") - F.col("lower_bound")) * F.col("rate")
+    return income.join(brackets, ends_in & (F.col("_income") > F.col("lower_bound")), "left").select(
+        *df.columns, round_cents(F.coalesce(due, F.lit(0.0)) / float(PERIODS_PER_YEAR)).alias("federal_tax")
     )
 
 

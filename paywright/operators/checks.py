@@ -11,10 +11,14 @@ from paywright.operators.extract import hours_worked
 
 
 def check_reference(rows: DataFrame, parents: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:
-    """Add ``accepted``: whether the row's parent exists. ``parents`` may repeat a key."""
-    known = parents.select(F.col(parent_key or key).alias(key)).distinct().withColumn("_known", F.lit(True))
+    """Add ``accepted``: whether the row's parent existed when the row arrived.
+
+    ``parents`` holds the events that create a parent, with their ``off``, and may repeat a key. With a row's own id as key
+    and the events that create such rows as parents, this is the check of updates and deactivations for their target.
+    """
+    known = parents.groupBy(F.col(parent_key or key).alias(key)).agg(F.min("off").alias("_since"))
     joined = join_one_per_key(rows, known, [key])
-    return joined.select(*rows.columns, F.coalesce("_known", F.lit(False)).alias("accepted"))
+    return joined.select(*rows.columns, F.coalesce(F.col("off") > F.col("_since"), F.lit(False)).alias("accepted"))
 
 
 def check_first_per_key(rows: DataFrame, key: str, existing: DataFrame | None = None) -> DataFrame:

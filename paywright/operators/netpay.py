@@ -50,7 +50,7 @@ def breakdown(configured: DataFrame) -> DataFrame:
     rounded = [
         round_cents(F.col(f.name)).alias(f.name) if i < 10 else F.col(f.name) for i, f in enumerate(NET_PAY_VALUE)
     ]
-    extra = ["last_off"] if "last_off" in configured.columns else []
+    extra = [c for c in ("last_off", "emitted_off") if c in configured.columns]
     return net.select(*NET_PAY_KEYS, *rounded, *extra)
 
 
@@ -83,6 +83,9 @@ def net_pay_asof(
     that period see the latest settings and older ones keep theirs. An employee has few periods; their offsets cut the
     log into slots. Setting events are reduced per slot on the map side, and one window per employee, over the slots
     only, carries the results forward to the gross rows. No window ever sees raw events.
+
+    ``emitted_off`` is the offset of the event that caused the row as it stands: its own last event, or a later setting
+    change if that recomputed it. A consumer that lets the later emitted row win orders by it.
     """
     live = gross if deactivated is None else gross.join(deactivated, "employee_id", "left_anti")
     seen_at = F.col("last_off")
@@ -101,9 +104,15 @@ def net_pay_asof(
             "_tax": F.last("_tax", ignorenulls=True).over(so_far),
             "fixed_total": F.sum("_fixed").over(so_far).cast("double"),
             "percent_share": F.sum("_share").over(so_far).cast("double"),
+            "_moved": F.max("_moved").over(so_far),
         }
     ).filter("_probe")
-    return breakdown(settled.select(*live.columns, "_tax.*", "fixed_total", "percent_share"))
+    emitted = F.col("last_off")
+    if current_period is not None:
+        emitted = F.when(F.col("pay_period_number") == current_period, F.greatest("last_off", "_moved")).otherwise(emitted)
+    return breakdown(
+        settled.select(*live.columns, "_tax.*", "fixed_total", "percent_share", emitted.alias("emitted_off"))
+    )
 
 
 def _slotted(events: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -115,7 +124,9 @@ def _slotted(events: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def _tax_by_slot(events: DataFrame) -> DataFrame:
-    return events.groupBy("employee_id", "_slot").agg(F.max_by(F.struct(*_TAX_COLUMNS), "off").alias("_tax"))
+    return events.groupBy("employee_id", "_slot").agg(
+        F.max_by(F.struct(*_TAX_COLUMNS), "off").alias("_tax"), F.max("off").alias("_moved")
+    )
 
 
 def _deductions_by_slot(events: DataFrame) -> DataFrame:
@@ -125,6 +136,7 @@ def _deductions_by_slot(events: DataFrame) -> DataFrame:
     newest = events.groupBy(*key, "_slot").agg(
         F.max_by(terms, F.when(F.col("amount").isNotNull(), F.col("off"))).alias("_terms"),
         F.max_by("is_active", "off").alias("_active"),
+        F.max("off").alias("_moved"),
     )
     order = Window.partitionBy(*key).orderBy("_slot")
     state = newest.withColumn(
@@ -139,10 +151,13 @@ def _deductions_by_slot(events: DataFrame) -> DataFrame:
     moved = state.select(
         "employee_id",
         "_slot",
+        "_moved",
         change(~F.col("_terms.is_percentage"), F.col("_terms.amount")).alias("_fixed"),
         change(F.col("_terms.is_percentage"), F.col("_terms.amount") / 100.0).alias("_share"),
     )
-    return moved.groupBy("employee_id", "_slot").agg(F.sum("_fixed").alias("_fixed"), F.sum("_share").alias("_share"))
+    return moved.groupBy("employee_id", "_slot").agg(
+        F.sum("_fixed").alias("_fixed"), F.sum("_share").alias("_share"), F.max("_moved").alias("_moved")
+    )
 
 
 def current_period_recompute(

@@ -134,7 +134,8 @@ def pay_changes(net_pay: DataFrame, accepted: DataFrame, block_rows: int = BLOCK
     """Net-pay rows that count, in arrival order: the employee is known by then, and no newer period was seen before.
 
     Every accepted deactivation of the employee forgets which period was newest. ``accepted`` are the employee's
-    accepted events; offsets of both inputs are of one log.
+    accepted events; offsets of both inputs are of one log. A pay row follows the event that caused it, so of an event
+    and a pay row with the same offset the event comes first.
     """
     keys = ["employee_id"]
     marks = accepted.select(
@@ -145,7 +146,8 @@ def pay_changes(net_pay: DataFrame, accepted: DataFrame, block_rows: int = BLOCK
         "_known": Running("max", F.col("_event"), include_current=True),
         "_segment": Running("sum", F.col("_reset"), include_current=True),
     }
-    placed = with_running(rows.unionByName(marks, allowMissingColumns=True), keys, before, block_rows=block_rows)
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_at", F.col("off") * 2 + 1 - F.col("_event"))
+    placed = with_running(both, keys, before, offset="_at", block_rows=block_rows)
     live = placed.filter((F.col("_event") == 0) & (F.col("_known") == 1)).drop("_event", "_reset", "_known")
     newest = {"_newest": Running("max", F.col("pay_period_number"))}
     seen = with_running(live, [*keys, "_segment"], newest, block_rows=block_rows)
@@ -158,12 +160,12 @@ def pay_attributes(net_pay: DataFrame, records: DataFrame) -> DataFrame:
 
     A deactivation deletes the row and so forgets which period was highest. Accepting "this period or later" one by one
     ends at the same row as the maximum over (period, arrival), which combines on the map side. Rows that arrive before
-    the employee record exists have nothing to attach to.
+    the employee record exists have nothing to attach to; the row caused by the very event that made the record counts.
     """
     known = records.select("employee_id", "first_off", F.coalesce("last_deactivated_off", F.lit(-1)).alias("_reset"))
     rows = valid_pay_rows(net_pay)
     live = join_one_per_key(rows, known, ["employee_id"], "inner").filter(
-        (F.col("off") > F.col("_reset")) & (F.col("off") > F.col("first_off"))
+        (F.col("off") > F.col("_reset")) & (F.col("off") >= F.col("first_off"))
     )
     values = [c for c in rows.columns if c != "employee_id"]
     best = F.max_by(F.struct(*values), F.struct("pay_period_number", "off")).alias("_row")

@@ -30,8 +30,6 @@ from paywright.streaming.layouts import (
 )
 from paywright.streaming.store import BATCH, DELETED, BatchStore, Snapshot
 
-MAX_PRUNED_PERIODS = 1000
-
 
 def run(
     source: DataFrame,
@@ -80,15 +78,14 @@ class PayStream:
     def _touched_partials(self, batch_id: int) -> DataFrame:
         """Partials of all batches for the (employee, period) pairs of this one.
 
-        Partials are partitioned by period, and a batch usually touches the current one or two. Their numbers are bounded
-        by the calendar, so they may go to the driver; if there are unexpectedly many, partitions are not pruned.
+        Partials are partitioned by period, and a batch usually touches the current one or two: the touched numbers prune
+        the partitions. A timestamp lies in one of 261,000 periods (years 1 to 9999), so they are at most 2 MB to broadcast.
         """
         history = self.partials.read(self.spark, PARTIALS, batch_id)
         touched = history.filter(F.col(BATCH) == batch_id).select(*pay.PERIOD_KEYS).distinct()
-        numbers = touched.select("pay_period_number").distinct().limit(MAX_PRUNED_PERIODS + 1).collect()
-        if len(numbers) <= MAX_PRUNED_PERIODS:
-            history = history.filter(F.col("pay_period_number").isin([row[0] for row in numbers]))
-        return join_one_per_key(history, touched, pay.PERIOD_KEYS, "left_semi", spread="time_entry_id")
+        numbers = F.broadcast(touched.select("pay_period_number").distinct())
+        pruned = history.join(numbers, "pay_period_number", "left_semi")
+        return join_one_per_key(pruned, touched, pay.PERIOD_KEYS, "left_semi", spread="time_entry_id")
 
     def hours_table(self) -> DataFrame:
         return self.hours.table(self.spark, HOURS, pay.PERIOD_KEYS).drop(BATCH)
@@ -137,7 +134,7 @@ class NetPayStream:
         employees = due.select("employee_id").distinct()
         of_due = lambda rows: join_one_per_key(rows, employees, ["employee_id"], "left_semi")
         live = netpay.net_pay_asof(due, of_due(tax), of_due(deductions), self.current_period, gone)
-        rows = live.withColumnRenamed("last_off", "off").withColumn(DELETED, F.lit(False))
+        rows = live.withColumn("off", F.col("emitted_off")).withColumn(DELETED, F.lit(False)).select(*NET.fieldNames())
 
         known = self.pay.gross.read(spark, GROSS, batch_id).select(*NET_PAY_KEYS)
         dead = due.select(*NET_PAY_KEYS).join(gone, "employee_id", "left_semi")
@@ -244,11 +241,15 @@ class ProjectionStream:
         """One batch of net-pay rows (the columns of ``NET``); deleted ones say nothing here.
 
         The last row that counted stands for all before it: those that count never go back in period, except across a
-        deactivation, and deactivations are in the feed.
+        deactivation, and deactivations are in the feed. A batch that is delivered again adds nothing: rows that are not
+        later than the employee's last counted one have been judged before.
         """
         spark = self.spark
         rows = projection.valid_pay_rows(net_pay.filter(~F.col(DELETED)).select(*PAY_ROWS.fieldNames()))
         before = self.shown.before(spark, batch_id)
+        done = before.select("employee_id", F.col("off").alias("_done"))
+        fresh = join_one_per_key(rows.dropDuplicates(["employee_id", "pay_period_number", "off"]), done, ["employee_id"])
+        rows = fresh.filter(F.col("_done").isNull() | (F.col("off") > F.col("_done"))).select(*PAY_ROWS.fieldNames())
         known = before.withColumn("_new", F.lit(False)).unionByName(rows.withColumn("_new", F.lit(True)))
         created = self._record_rows().select(
             "employee_id", F.col("first.off").alias("off"), F.lit("employee.created").alias("event_type")

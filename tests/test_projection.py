@@ -172,8 +172,24 @@ def test_first_per_key_and_reference(spark):
     df = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (3, "c")], "off bigint, employee_id string")
     existing = spark.createDataFrame([("b",)], "employee_id string")
     assert [r[2] for r in rows(checks.check_first_per_key(df, "employee_id", existing), "off")] == [True, False, False, True]
-    parents = spark.createDataFrame([("a",), ("a",), ("c",)], "id string")
+    parents = spark.createDataFrame([(-1, "a"), (5, "a"), (-2, "c"), (7, "b")], "off bigint, id string")
     assert [r[2] for r in rows(checks.check_reference(df, parents, "employee_id", "id"), "off")] == [True, False, True, True]
+    late = spark.createDataFrame([(2, "a"), (0, "b")], "off bigint, id string")
+    assert [r[2] for r in rows(checks.check_reference(df, late, "employee_id", "id"), "off")] == [False, True, False, False]
+
+
+def test_pay_row_of_the_event_that_made_the_record(spark):
+    accepted = projection.accepted_events(_changes(spark, [(5, EMPS[0], "ev5", "created", 5)]))
+    names = ["off", "employee_id", "pay_period_number", *projection.NET_PAY_AMOUNTS, "pay_rate", "total_hours_worked",
+             "pay_type", "pay_period_start", "pay_period_end"]
+    paid = lambda off, net: (off, EMPS[0], 3, *[net] * 10, 1.0, 1.0, "2", "", "")
+    for order in ([paid(5, 1.0), paid(9, 2.0)], [paid(9, 2.0), paid(5, 1.0)]):
+        pay = spark.createDataFrame(order, names)
+        shown = projection.pay_attributes(pay, projection.employee_record(accepted)).select("off", "net_pay").collect()
+        assert [(r.off, float(r.net_pay)) for r in shown] == [(9, 2.0)]
+        assert rows(projection.change_feed(accepted, pay), "off", "change_type") == [
+            (5, EMPS[0], "created"), (5, EMPS[0], "payUpdated"), (9, EMPS[0], "payUpdated")
+        ]
 
 
 def test_hours_check(spark):
