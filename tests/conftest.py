@@ -1,10 +1,12 @@
-import json
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+HERE = Path(__file__).resolve().parent
+sys.path[:0] = [str(HERE.parent), str(HERE)]
+
+from helpers import envelope  # noqa: E402
 
 from paywright.session import build_session  # noqa: E402
 
@@ -26,16 +28,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def event(event_type, event_id=None, occurred_on=None, **fields):
-    """Payload of one event as text."""
-    domain = {"EventType": event_type, "EventId": event_id, "OccurredOn": occurred_on}
-    return json.dumps({**fields, "DomainEvents": [{k: v for k, v in domain.items() if v is not None}]})
-
-
-def envelope(data, **extra):
-    return json.dumps({"type": "payroll.event", "source": "test", "data": data, **extra})
-
-
 @pytest.fixture
 def make_log(spark):
     """Raw log (off, value) from payload texts, offsets in list order."""
@@ -52,7 +44,3 @@ def make_events(make_log):
     from paywright.sources.event_log import events_of
 
     return lambda payloads: events_of(make_log(payloads))
-
-
-def rows(df, *order):
-    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]

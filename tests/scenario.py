@@ -1,6 +1,6 @@
 """The five demo employees, their settings and four weeks of time entries."""
 
-from conftest import event
+from helpers import event
 
 PEOPLE = [
     # id, first, last, pay type, rate, period hours, filing, state, extra federal, extra state, deductions (amount, percent)

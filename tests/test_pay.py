@@ -2,7 +2,7 @@ import random
 import re
 
 import pytest
-from conftest import event, rows
+from helpers import event, rows
 from scenario import payloads
 
 from paywright.functions import tax

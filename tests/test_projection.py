@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
-from conftest import event, rows
+from helpers import event, rows
 
 from paywright.functions.ordered import Running, with_running
 from paywright.operators import checks, lookups, projection

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from paywright.plans import filters
 from paywright.plans.search_documents import last_pay_periods, search_documents, search_hits

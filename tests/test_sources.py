@@ -1,6 +1,6 @@
 import json
 
-from conftest import event, rows
+from helpers import event, rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 

@@ -1,7 +1,7 @@
 import shutil
 
 import pytest
-from conftest import envelope, event, rows
+from helpers import envelope, event, rows
 from scenario import payloads
 
 from paywright.operators import projection
