@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from paywright.llm import decontaminate, embed_dedup, html_main, lang_profile, ngram_join, piece_codec, quality, suffix_dedup, token_counts, toxicity
+from paywright.llm import (
+    decontaminate,
+    embed_dedup,
+    html_main,
+    lang_profile,
+    ngram_join,
+    piece_codec,
+    quality,
+    resample,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+)
 from paywright.llm.common import ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +84,8 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.code_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
