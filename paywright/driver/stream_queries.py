@@ -29,7 +29,7 @@ def _part(spark: SparkSession, sf: str, part: int, *entities: str) -> DataFrame:
     return rows.filter((F.col("event_id") >= low) & (F.col("event_id") < high))
 
 
-def _feed(spark: SparkSession, sf: str, entities: tuple[str, ...], start, shape=lambda log: log) -> None:
+def feed(spark: SparkSession, sf: str, entities: tuple[str, ...], start, shape=lambda log: log) -> None:
     """Let the log arrive part by part: each part is written, then ``start(log, checkpoint)`` runs until it is consumed.
 
     The job starts over with the same checkpoint for every part, so each run continues from the state of the one before.
@@ -45,13 +45,13 @@ def _run(spark: SparkSession, sf: str, job, *entities: str, shape=lambda log: lo
     def body(raw: DataFrame, batch_id: int) -> None:
         job.process(raw.repartition("off"), batch_id)
 
-    _feed(spark, sf, entities, lambda log, checkpoint: jobs.run(log, body, checkpoint), shape)
+    feed(spark, sf, entities, lambda log, checkpoint: jobs.run(log, body, checkpoint), shape)
 
 
 @query
 def stream_employee_info(spark, sf):
     store = BatchStore(scratch_dir(spark, "employee-info"))
-    _feed(spark, sf, ("employee",), lambda log, checkpoint: jobs.start_employee_info(events_of(log), store, checkpoint))
+    feed(spark, sf, ("employee",), lambda log, checkpoint: jobs.start_employee_info(events_of(log), store, checkpoint))
     return store.table(spark, EMPLOYEE_INFO, ["employee_id"]).drop("batch_id")
 
 
@@ -107,7 +107,7 @@ def stream_projection(spark, sf):
 
 
 @query
-def stream_change_feed(spark, sf):
+def stream_changefeed(spark, sf):
     job = jobs.ProjectionStream(spark, scratch_dir(spark, "feed"))
     _run(spark, sf, job, "employee", shape=tables.redelivered)
     return job.change_feed()
