@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from paywright.driver.oracle import ORACLE, _add, _with
-from paywright.driver.tables import SQL_LOG
+from paywright.driver.tables import EMPLOYEE_ID_STEM, SQL_LOG
 
 _add("landed_net_pay", ORACLE["net_pay"])
 _add("landed_topics", ORACLE["event_topic_routing"])
@@ -14,3 +14,30 @@ SELECT emp AS employee_id, id AS deduction_id, amount, is_percentage
 FROM (SELECT * FROM log WHERE kind = 'purchase' QUALIFY row_number() OVER (PARTITION BY emp, id ORDER BY off DESC) = 1)
 WHERE event_type <> 'deduction.deactivated'""")
 _add("stream_net_pay_state", ORACLE["stream_net_pay"])
+_add("search_indexed", ORACLE["search_simple"])
+_add("search_indexed_keyword", ORACLE["search_simple_keyword"])
+_add("net_pay_bucketed", ORACLE["net_pay"])
+_add("duty_brackets", """
+WITH base(bracket, a, b, rate) AS (VALUES
+  (0, 0.0::DOUBLE, 2000.0::DOUBLE, 0.05::DOUBLE), (1, 2000.0, 8000.0, 0.10), (2, 8000.0, 20000.0, 0.15), (3, 20000.0, 45000.0, 0.20),
+  (4, 45000.0, 80000.0, 0.25), (5, 80000.0, 150000.0, 0.30), (6, 150000.0, NULL, 0.35)),
+prices AS (
+  SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(year(o_orderdate) AS INTEGER) AS year, l_extendedprice AS price
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+),
+scaled AS (SELECT *, 1 + nation / 50.0::DOUBLE + (year - 1990) / 20.0::DOUBLE AS f FROM prices)
+SELECT nation, year, bracket, COUNT(*) AS n, CAST(SUM(CAST(floor((price - a * f) * rate * 100 + 0.5) AS BIGINT)) AS BIGINT) AS duty_cents
+FROM scaled JOIN base ON price >= a * f AND (b IS NULL OR price < b * f) GROUP BY ALL""")
+_add("lookup_pruned", f"""
+SELECT * FROM ({ORACLE['net_pay']}) WHERE employee_id IN ({', '.join(f"'{EMPLOYEE_ID_STEM}{n:012d}'" for n in (3, 17, 58, 99, 100_000))})""")
+_add("search_page_observed", ORACLE["search_page"])
+_add("stream_replay_stats", ORACLE["replay_stats"])
+_add("stream_pay_notices", """
+SELECT event_id AS off, user_id AS employee_id FROM events e WHERE event_type = 'click' AND EXISTS (
+  SELECT 1 FROM events r WHERE r.event_type = 'signup' AND r.user_id = e.user_id
+    AND r.ts >= e.ts - INTERVAL 8 DAYS AND r.ts <= e.ts + INTERVAL 36 HOURS)""")
+_add("rebuilt_projection", f"""
+SELECT i.*, CAST(0 AS INTEGER) AS dropped_first, (
+  SELECT CAST(COUNT(DISTINCT user_id) AS INTEGER) FROM events
+  WHERE event_type = 'signup' AND event_id <= (SELECT MAX(event_id) // 2 FROM events WHERE event_type = 'signup')) AS dropped_second
+FROM ({ORACLE['employee_info']}) i""")

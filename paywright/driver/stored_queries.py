@@ -7,17 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paywright.driver import tables
+from paywright.driver.queries import _documents as documents
+from paywright.driver.queries import _payroll as payroll_of
 from paywright.driver.queries import query
 from paywright.driver.stream_queries import feed
+from paywright.functions.ranges import join_intervals
 from paywright.operators import extract
+from paywright.operators.figures import named_records, observed, page_in_one_pass, stream_figures
+from paywright.plans import filters
 from paywright.plans.payroll import Payroll
+from paywright.plans.search_index import SearchIndex
 from paywright.schemas import NET_PAY_KEYS
 from paywright.session import scratch_dir
 from paywright.sources import changelog, event_log
+from paywright.sources.bucketed import BucketedPayroll
+from paywright.sources.clustered import lookup, write_clustered
 from paywright.sources.keyed_table import KeyedTable
+from paywright.sources.published import Published
 from paywright.streaming import jobs
 from paywright.streaming.keyed import SignalStream, start_states
 from paywright.streaming.layouts import NET
+from paywright.streaming.notices import pay_notices
 from paywright.streaming.store import BatchStore
 
 # Landed logs ---------------------------------------------------------------------------------------------------------
@@ -109,3 +119,126 @@ def stream_net_pay_state(spark, sf):
 
     feed(spark, sf, (), both_halves)
     return net.table(spark, NET, NET_PAY_KEYS).drop("batch_id", "off")
+
+
+# Indexed and bucketed tables -----------------------------------------------------------------------------------------
+
+
+def _index(spark: SparkSession, sf: str) -> SearchIndex:
+    docs = documents(spark, sf)
+    index = SearchIndex(scratch_dir(spark, "search-index"), docs.schema, buckets=16)
+    index.build(docs)
+    return index
+
+
+@query
+def search_indexed(spark, sf):
+    """The search of ``search_simple``, through an index."""
+    return _index(spark, sf).simple(spark, " Mary A ", "active", "1").select("employee_id", "first_name", "pay_type")
+
+
+@query
+def search_indexed_keyword(spark, sf):
+    return _index(spark, sf).simple(spark, "r.1").select("employee_id", "email")
+
+
+@query
+def net_pay_bucketed(spark, sf):
+    """Net pay from tables that were bucketed by employee, joined bucket by bucket."""
+    return BucketedPayroll.write(payroll_of(spark, sf), spark, 8).net_pay(spark).drop("last_off")
+
+
+# Ranges --------------------------------------------------------------------------------------------------------------
+
+#: Bounds and rates of the brackets, before they are scaled by nation and year.
+BASE_BRACKETS = [(0.0, 0.05), (2000.0, 0.10), (8000.0, 0.15), (20000.0, 0.20), (45000.0, 0.25), (80000.0, 0.30), (150000.0, 0.35)]
+
+
+@query
+def duty_brackets(spark, sf):
+    """Line items by the bracket of their price, where brackets differ by the customer's nation and the year of the order."""
+    orders = tables.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("year"))
+    customers = tables.table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("nation"))
+    lines = tables.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    base = F.array(*[F.struct(F.lit(i).alias("bracket"), F.lit(a).alias("a"), F.lit(b).cast("double").alias("b"), F.lit(r).alias("rate"))
+                     for i, ((a, r), (b, _)) in enumerate(zip(BASE_BRACKETS, [*BASE_BRACKETS[1:], (None, 0)], strict=True))])
+    factor = 1 + F.col("nation") / 50 + (F.col("year") - 1990) / 20
+    points = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    points = points.select("l_orderkey", "l_linenumber", "l_extendedprice", "nation", "year")
+    scaled = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("nation", "year").distinct().select("nation", "year", F.explode(base).alias("x"))
+    brackets = scaled.select("nation", "year", "x.bracket", "x.rate", (F.col("x.a") * factor).alias("low"), (F.col("x.b") * factor).alias("high"))
+    found = join_intervals(points, brackets, ["nation", "year"], "l_extendedprice", "low", "high", "l_orderkey")
+    duty = F.floor((F.col("l_extendedprice") - F.col("low")) * F.col("rate") * 100 + 0.5).cast("long")
+    return found.groupBy("nation", "year", "bracket").agg(F.count(F.lit(1)).alias("n"), F.sum(duty).alias("duty_cents"))
+
+
+# Lookups, figures, versions ------------------------------------------------------------------------------------------
+
+
+@query
+def lookup_pruned(spark, sf):
+    """Net pay of a few employees out of a table that is laid out for it."""
+    path = scratch_dir(spark, "clustered")
+    write_clustered(payroll_of(spark, sf).net_pay().drop("last_off"), path, "employee_id", 1000)
+    asked = [f"{tables.EMPLOYEE_ID_STEM}{n:012d}" for n in (3, 17, 58, 99, 100_000)]
+    return lookup(spark, path, "employee_id", asked)
+
+
+@query
+def search_page_observed(spark, sf):
+    """The page of ``search_page``, whose hits are counted on the way."""
+    docs = documents(spark, sf)
+    matches = docs.filter(filters.compile_simple("", filters.searchable_fields(docs.schema)))
+    return page_in_one_pass(matches).select("employee_id", "email", "total_hits")
+
+
+@query
+def stream_replay_stats(spark, sf):
+    """Figures of a replay, observed in the micro-batches of the stream that reads it."""
+    gone, runs = BatchStore(scratch_dir(spark, "gone")), []
+
+    def start(log, checkpoint):
+        named = observed(named_records(event_log.events_of(log)))
+        ended = (F.col("event_type") == "employee.deactivated") & F.col("Id").isNotNull()
+        run = jobs.run(named, lambda rows, batch_id: gone.write(rows.filter(ended).select("Id").distinct(), batch_id), checkpoint)
+        runs.append(run)
+        return run
+
+    feed(spark, sf, (), start)
+    ids = gone.read(spark, T.StructType([T.StructField("Id", T.StringType())])).select("Id").distinct()
+    figures = [F.lit(v).cast("bigint").alias(k) for k, v in stream_figures(runs).items()]
+    return ids.agg(F.count(F.lit(1)).alias("deactivated_employees")).select(*figures, "deactivated_employees")
+
+
+@query
+def rebuilt_projection(spark, sf):
+    """The employee table, published first from half of the log and then from all of it, with the rows each run replaced."""
+    path = scratch_dir(spark, "employees")
+    events = tables.events(spark, sf, "employee").persist()
+    try:
+        project = lambda log: Payroll.of(log).employees()
+        half = (events.agg(F.max("off")).first()[0] or 0) // 2
+        first = jobs.rebuild(events.filter(F.col("off") <= half), project, path)
+        second = jobs.rebuild(events, project, path)
+    finally:
+        events.unpersist()
+    return Published(path).read(spark).select("*", F.lit(first).alias("dropped_first"), F.lit(second).alias("dropped_second"))
+
+
+#: How long before and after its pay row an employee's record may be written for the notice to go out.
+EARLIER, LATER = "8 DAYS", "36 HOURS"
+
+
+@query
+def stream_pay_notices(spark, sf):
+    """Time entries that come within days of a record of their employee, before or after it, over five parts of the log."""
+    store = BatchStore(scratch_dir(spark, "notices"))
+
+    def start(rows, checkpoint):
+        typed = rows.select(F.col("event_id").alias("off"), F.col("user_id").alias("employee_id"), F.col("ts").cast("timestamp").alias("at"), "event_type")
+        notices = pay_notices(typed.filter("event_type = 'click'").drop("event_type"), typed.filter("event_type = 'signup'"), EARLIER, LATER)
+        return jobs.run(notices, lambda batch, batch_id: store.write(batch.select("off", "employee_id"), batch_id), checkpoint)
+
+    feed(spark, sf, ("timeentry", "employee"), start, to_log=lambda rows, *entities: rows)
+    found = store.read(spark, T.StructType([T.StructField("off", T.LongType()), T.StructField("employee_id", T.LongType())]))
+    return found.select("off", "employee_id")

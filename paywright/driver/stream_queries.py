@@ -29,7 +29,7 @@ def _part(spark: SparkSession, sf: str, part: int, *entities: str) -> DataFrame:
     return rows.filter((F.col("event_id") >= low) & (F.col("event_id") < high))
 
 
-def feed(spark: SparkSession, sf: str, entities: tuple[str, ...], start, shape=lambda log: log) -> None:
+def feed(spark: SparkSession, sf: str, entities: tuple[str, ...], start, shape=lambda log: log, to_log=tables.to_log) -> None:
     """Let the log arrive part by part: each part is written, then ``start(log, checkpoint)`` runs until it is consumed.
 
     The job starts over with the same checkpoint for every part, so each run continues from the state of the one before.
@@ -38,7 +38,7 @@ def feed(spark: SparkSession, sf: str, entities: tuple[str, ...], start, shape=l
     for part in range(PARTS):
         _part(spark, sf, part, *entities).write.mode("append").parquet(folder)
         rows = spark.readStream.schema(tables.SCHEMAS["events"]).parquet(folder)
-        start(shape(tables.to_log(rows, *entities)), checkpoint).awaitTermination()
+        start(shape(to_log(rows, *entities)), checkpoint).awaitTermination()
 
 
 def _run(spark: SparkSession, sf: str, job, *entities: str, shape=lambda log: log) -> None:

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,6 +24,7 @@ from paywright.plans.search_documents import last_pay_periods, search_documents
 from paywright.schemas import NET_PAY_KEYS
 from paywright.sources.changelog import to_changelog
 from paywright.sources.event_log import events_of
+from paywright.sources.published import Published
 from paywright.streaming.layouts import (
     DEDUCTIONS, DOCUMENTS, FEED, GONE, GROSS, HOURS, INFO, NET, PARTIALS, PAY_ROWS, RECORDS, TAX,
 )
@@ -291,13 +291,12 @@ def start_employee_info(events: DataFrame, store: BatchStore, checkpoint: str) -
 
 
 def rebuild(log: DataFrame, project: Callable[[DataFrame], DataFrame], path: str) -> int:
-    """Drop a projection and build it again from the whole log; returns how many rows were dropped."""
-    spark = log.sparkSession
-    try:
-        dropped = spark.read.parquet(path).count()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        dropped = 0
-    project(log).write.mode("overwrite").parquet(path)
+    """Build a projection again from the whole log and publish it in place of the old one; returns how many rows that had.
+
+    The old version stays readable until the new one is complete, also if building it fails half-way.
+    """
+    table = Published(path)
+    old = table.read(log.sparkSession)
+    dropped = 0 if old is None else old.count()
+    table.publish(project(log))
     return dropped
