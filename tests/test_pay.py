@@ -3,7 +3,7 @@ import re
 
 import pytest
 from helpers import event, rows
-from scenario import payloads
+from scenario import PERIOD, payloads
 
 from paywright.functions import tax
 from paywright.operators import extract, netpay, pay, people
@@ -11,36 +11,40 @@ from paywright.plans.payroll import Payroll
 from paywright.sources.event_log import events_of, land, read_landed, resolve_identity
 
 
-def test_seed_hours(make_events):
+def test_hours_of_the_scenario(make_events):
     got = rows(Payroll.of(make_events(payloads())).hours(), "employee_id", "pay_period_number")
     per_employee = [
-        (53, 43.0, 5, "2026-01-12T00:00:00", "2026-01-26T00:00:00"),
-        (54, 86.5, 10, "2026-01-26T00:00:00", "2026-02-09T00:00:00"),
-        (55, 43.5, 5, "2026-02-09T00:00:00", "2026-02-23T00:00:00"),
+        (8, 33.0, 5, "2024-04-22T00:00:00", "2024-05-06T00:00:00"),
+        (9, 27.75, 4, "2024-05-06T00:00:00", "2024-05-20T00:00:00"),
+        (10, 33.0, 5, "2024-05-20T00:00:00", "2024-06-03T00:00:00"),
+        (11, 33.75, 5, "2024-06-03T00:00:00", "2024-06-17T00:00:00"),
+        (12, 20.25, 3, "2024-06-17T00:00:00", "2024-07-01T00:00:00"),
     ]
-    assert got == [(e, *r) for e in ("emp-emily", "emp-sarah") for r in per_employee]
+    assert got == [(e, *r) for e in ("w-kofi", "w-tomas") for r in per_employee]
 
 
-SEED_NET = {
-    "emp-john": (1442.31, 155.23, 134.13, 289.36, 250, 86.54, 336.54, 816.41),
-    "emp-sarah": (2465.25, 352.09, 168.87, 595.96, 225, 0, 225, 1644.29),
-    "emp-michael": (1634.62, 178.31, 0, 178.31, 275, 163.46, 438.46, 1017.84),
-    "emp-emily": (2768.00, 418.69, 0, 418.69, 0, 0, 0, 2349.31),
-    "emp-david": (1461.54, 166.46, 72.35, 388.81, 0, 0, 0, 1072.73),
+# gross, federal, state, all tax, fixed, percent, all deductions, net. Ines, for one: 62400 / 2080 * 38 = 1140; a year of it,
+# 29640, is taxed 2320 + 12 % of 6440, which is 118.95 a period; 9.9 % for the state; 10 more for the federation.
+NET = {
+    "w-ines": (1140.00, 118.95, 112.86, 241.81, 120, 45.60, 165.60, 732.59),
+    "w-tomas": (739.20, 79.78, 72.81, 160.09, 95, 0, 95, 484.11),
+    "w-priya": (2052.00, 261.17, 0, 286.17, 95, 153.90, 248.90, 1516.93),
+    "w-kofi": (1353.00, 153.44, 74.28, 227.72, 0, 0, 0, 1125.28),
+    "w-lena": (1000.00, 102.15, 57.50, 171.65, 0, 0, 0, 828.35),
 }
 
 
 @pytest.mark.parametrize("mode", ["snapshot", "asof"])
-def test_seed_net_pay(make_events, mode):
-    table = Payroll.of(make_events(payloads())).net_pay(mode, current_period=54).filter("pay_period_number = 54")
+def test_net_pay_of_the_scenario(make_events, mode):
+    table = Payroll.of(make_events(payloads())).net_pay(mode, current_period=PERIOD).filter(f"pay_period_number = {PERIOD}")
     names = ["gross_pay", "federal_tax", "state_tax", "total_tax", "total_fixed_deductions", "total_percent_deductions",
              "total_deductions", "net_pay"]
     got = {r["employee_id"]: tuple(r[n] for n in names) for r in table.collect()}
-    assert got == {k: pytest.approx(v) for k, v in SEED_NET.items()}
+    assert got == {k: pytest.approx(v) for k, v in NET.items()}
 
 
 def test_rate_of_another_period_is_not_carried(make_events):
-    table = Payroll.of(make_events(payloads("2025-06-01T00:00:00Z"))).gross_pay().filter("pay_period_number = 54")
+    table = Payroll.of(make_events(payloads("2023-06-01T00:00:00Z"))).gross_pay().filter(f"pay_period_number = {PERIOD}")
     assert {r["gross_pay"] for r in table.collect()} == {None}
 
 
@@ -216,14 +220,14 @@ def test_asof_net_pay_matches_record_by_record(spark, seed):
 
 def test_deactivation_is_for_good(make_events):
     extra = [
-        event("employee.deactivated", Id="emp-john", UpdatedAt="2026-02-02T00:00:00Z"),
-        event("employee.activated", Id="emp-john", UpdatedAt="2026-02-03T00:00:00Z"),
+        event("employee.deactivated", Id="w-ines", UpdatedAt="2024-05-28T00:00:00Z"),
+        event("employee.activated", Id="w-ines", UpdatedAt="2024-05-29T00:00:00Z"),
     ]
     p = Payroll.of(make_events(payloads() + extra))
-    assert "emp-john" not in {r[0] for r in p.net_pay().collect()}
+    assert "w-ines" not in {r[0] for r in p.net_pay().collect()}
     keys = p.gross_pay().select("employee_id", "pay_period_number")
     assert rows(netpay.purge(keys, p.deactivated()).select("key", "value")) == [
-        ('{"EMPLOYEE_ID":"emp-john","PAY_PERIOD_NUMBER":54}', None)
+        ('{"EMPLOYEE_ID":"w-ines","PAY_PERIOD_NUMBER":10}', None)
     ]
 
 

@@ -9,7 +9,7 @@ import pytest
 from helpers import event, rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from scenario import payloads
+from scenario import PERIOD, payloads
 
 from paywright.functions.ranges import join_intervals
 from paywright.operators import figures, netpay, people
@@ -42,7 +42,7 @@ def files_of(path):
 def test_landed_tables_never_parse_text(spark, make_log, tmp_path):
     land(make_log(payloads()), str(tmp_path / "log"))
     landed = Payroll.landed(spark, str(tmp_path / "log"))
-    for table in (landed.net_pay(), landed.employees(), landed.hours(), landed.net_pay("asof", current_period=54)):
+    for table in (landed.net_pay(), landed.employees(), landed.hours(), landed.net_pay("asof", current_period=PERIOD)):
         assert not re.search("json_tuple|get_json_object|parse_json", plan_of(table))
 
 
@@ -216,22 +216,22 @@ def test_points_meet_their_intervals(spark):
 
 def test_state_equals_the_batch_and_can_be_read(spark, make_log, make_events, tmp_path):
     log = payloads()
-    log.insert(60, event("taxinfo.updated", Id="t", EmployeeId="emp-sarah", FederalFilingStatus="Married", State="CA"))
-    log += [event("deduction.deactivated", Id="emp-john-ded-0", EmployeeId="emp-john"), event("employee.deactivated", Id="emp-david")]
+    log.insert(60, event("taxinfo.updated", Id="t", EmployeeId="w-tomas", FederalFilingStatus="Married", State="CA"))
+    log += [event("deduction.deactivated", Id="w-ines-ded-0", EmployeeId="w-ines"), event("employee.deactivated", Id="w-lena")]
     signals, net, states = keyed.SignalStream(spark, str(tmp_path / "s")), BatchStore(str(tmp_path / "net")), str(tmp_path / "states")
     parts = 3
     for part in range(parts):
         cut = make_log(log).filter((F.col("off") * parts / len(log)).cast("int") == part)
         signals.process(cut, part)
-        keyed.start_states(spark, signals, net, states, current_period=54).awaitTermination()
+        keyed.start_states(spark, signals, net, states, current_period=PERIOD).awaitTermination()
     key = ["employee_id", "pay_period_number"]
-    want = Payroll.of(make_events(log)).net_pay("asof", current_period=54).drop("last_off", "emitted_off")
+    want = Payroll.of(make_events(log)).net_pay("asof", current_period=PERIOD).drop("last_off", "emitted_off")
     assert rows(net.table(spark, NET, key).drop("batch_id", "off").select(*want.columns), *key) == rows(want, *key)
     hot = spark.read.parquet(f"{signals.signals.path}/*").groupBy("employee_id").count().agg(F.max("count")).first()[0]
     assert hot < len(log) / 2
     tax = spark.read.format("statestore").option("stateVarName", "tax").load(states)
     held = {r["key"]["employee_id"]: r["value"]["state"] for r in tax.collect()}
-    assert held["emp-sarah"] == Payroll.of(make_events(log)).tax_state().filter("employee_id = 'emp-sarah'").first()["state"]
+    assert held["w-tomas"] == Payroll.of(make_events(log)).tax_state().filter("employee_id = 'w-tomas'").first()["state"]
 
 
 def test_signals_are_reduced_on_the_way(make_events):

@@ -2,7 +2,7 @@ import shutil
 
 import pytest
 from helpers import envelope, event, rows
-from scenario import payloads
+from scenario import PERIOD, payloads, shift
 
 from paywright.operators import projection
 from paywright.plans.payroll import Payroll
@@ -20,14 +20,14 @@ KEYS = ("employee_id", "pay_period_number")
 def _log():
     """Seed events in an order that spreads edits, settings and deactivations over the batches."""
     log = payloads()
-    log.append(event("timeentry.updated", Id="emp-sarah-0", EmployeeId="emp-sarah", ClockIn="2026-01-19T08:00:00Z", HoursWorked=2))
-    log.append(event("taxinfo.updated", Id="emp-sarah-tax", EmployeeId="emp-sarah", FederalFilingStatus="Married", State="CA"))
-    log.append(event("timeentry.updated", Id="emp-sarah-15", EmployeeId="emp-sarah", ClockIn="2026-02-09T08:00:00Z", HoursWorked=3))
-    log.append(event("deduction.deactivated", Id="emp-sarah-ded-0", EmployeeId="emp-sarah"))
-    log.append(event("employee.deactivated", Id="emp-david", IsActive=False, UpdatedAt="2026-02-12T00:00:00Z"))
-    log.append(event("employee.updated", Id="emp-david", PayType=2, PayRate=1, PayPeriodHours=40, UpdatedAt="2026-02-12T00:00:00Z", IsActive=True))
-    log.append(event("employee.updated", Id="emp-john", FirstName="Johnny", PayType=2, PayRate=80000, PayPeriodHours=40,
-                     UpdatedAt="2026-02-03T00:00:00Z", IsActive=False))
+    log.append(shift("w-tomas", 0, 2, "timeentry.updated"))
+    log.append(event("taxinfo.updated", Id="w-tomas-tax", EmployeeId="w-tomas", FederalFilingStatus="Married", State="CA"))
+    log.append(shift("w-tomas", 15, 3, "timeentry.updated"))
+    log.append(event("deduction.deactivated", Id="w-tomas-ded-0", EmployeeId="w-tomas"))
+    log.append(event("employee.deactivated", Id="w-lena", IsActive=False, UpdatedAt="2024-06-08T00:00:00Z"))
+    log.append(event("employee.updated", Id="w-lena", PayType=2, PayRate=1, PayPeriodHours=40, UpdatedAt="2024-06-08T00:00:00Z", IsActive=True))
+    log.append(event("employee.updated", Id="w-ines", FirstName="Inès", PayType=2, PayRate=80000, PayPeriodHours=40,
+                     UpdatedAt="2024-05-29T00:00:00Z", IsActive=False))
     return log
 
 
@@ -57,7 +57,7 @@ def _batch(spark, folder):
 
 
 def test_net_pay_and_hours_equal_their_batch_twins(spark, log_folder):
-    job = jobs.NetPayStream(spark, scratch_dir(spark, "net"), current_period=54)
+    job = jobs.NetPayStream(spark, scratch_dir(spark, "net"), current_period=PERIOD)
     query = jobs.run(_stream(spark, log_folder), job.process, scratch_dir(spark, "cp"))
     query.awaitTermination()
     assert query.lastProgress["batchId"] >= 3
@@ -66,7 +66,7 @@ def test_net_pay_and_hours_equal_their_batch_twins(spark, log_folder):
     gross = job.pay.gross_table()
     assert rows(gross, *KEYS) == rows(twin.gross_pay().select(*gross.columns), *KEYS)
     net = job.net_pay_table().drop("off")
-    assert rows(net, *KEYS) == rows(twin.net_pay("asof", 54).select(*net.columns), *KEYS)
+    assert rows(net, *KEYS) == rows(twin.net_pay("asof", PERIOD).select(*net.columns), *KEYS)
     topic = job.changelog()
     assert topic.filter("value is null").count() >= 1
     assert table_from_changelog(topic, ["key"]).count() == net.count()
@@ -90,15 +90,15 @@ def test_replay_from_the_start_changes_nothing(spark, log_folder):
 
 
 def test_search_documents_equal_their_batch_twin(spark, log_folder):
-    job = jobs.SearchStream(spark, scratch_dir(spark, "search"), current_period=54)
+    job = jobs.SearchStream(spark, scratch_dir(spark, "search"), current_period=PERIOD)
     jobs.run(_stream(spark, log_folder), job.process, scratch_dir(spark, "cp")).awaitTermination()
     from paywright.plans.search_documents import search_documents
 
     twin = _batch(spark, log_folder)
-    want = search_documents(twin.employees(), twin.net_pay("asof", 54))
+    want = search_documents(twin.employees(), twin.net_pay("asof", PERIOD))
     got = job.document_table()
     assert rows(got, "employee_id") == rows(want.select(*got.columns), "employee_id")
-    assert "emp-john" not in {r.employee_id for r in got.collect()}
+    assert "w-ines" not in {r.employee_id for r in got.collect()}
 
 
 def test_employee_info_in_update_mode(spark, log_folder):
