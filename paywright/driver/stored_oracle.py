@@ -41,3 +41,32 @@ SELECT i.*, CAST(0 AS INTEGER) AS dropped_first, (
   SELECT CAST(COUNT(DISTINCT user_id) AS INTEGER) FROM events
   WHERE event_type = 'signup' AND event_id <= (SELECT MAX(event_id) // 2 FROM events WHERE event_type = 'signup')) AS dropped_second
 FROM ({ORACLE['employee_info']}) i""")
+
+_FORMS = f"""
+SELECT off, CASE WHEN k % 20 = 17 THEN NULL WHEN k % 10 = 7 OR kind = 'signup' THEN emp ELSE id END AS employee_id,
+  CASE WHEN k % 20 <> 17 THEN event_id END AS event_id,
+  CASE WHEN k % 20 = 17 THEN '' WHEN k % 10 = 7 THEN 'projected.' || kind ELSE event_type END AS event_type,
+  CASE WHEN k % 20 = 17 THEN NULL WHEN k % 10 = 7 THEN epoch_us(ts) ELSE epoch_us(occurred_on) END AS occurred_us
+FROM log"""
+_add("event_identity_forms", _with(SQL_LOG) + _FORMS)
+_add("landed_identity_forms", f"""
+SELECT *, CASE WHEN event_type = '' THEN 'unknown' ELSE split_part(event_type, '.', 1) || '-events' END AS topic
+FROM ({_with(SQL_LOG)} {_FORMS})""")
+
+_PAID = f"""
+shifts AS (
+  SELECT '{EMPLOYEE_ID_STEM}' || lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS employee_id, o_custkey, o_orderkey,
+    CAST(epoch(date_trunc('second', o_orderdate + INTERVAL 32 YEARS)) AS BIGINT) * 1000 AS ms,
+    (ms - 1704067200000) // 1209600000 AS pay_period_number, CAST(1 + o_orderkey % 9 AS DOUBLE) AS hours, CAST(10 + o_orderkey % 31 AS DOUBLE) AS rate
+  FROM orders
+),
+paid AS (
+  SELECT employee_id, o_custkey, pay_period_number, SUM(hours) AS total_hours_worked,
+    floor(arg_max(rate, o_orderkey) * SUM(hours) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS net_pay
+  FROM shifts GROUP BY ALL
+),
+kept AS (SELECT *, row_number() OVER (PARTITION BY employee_id ORDER BY pay_period_number DESC) AS rn FROM paid QUALIFY rn <= 4)"""
+_add("orders_last4_periods", f"WITH {_PAID} SELECT employee_id, pay_period_number, total_hours_worked, net_pay FROM kept")
+_add("orders_search_page", f"""
+WITH {_PAID}, hits AS (SELECT employee_id, 'buyer' || o_custkey || '@example.com' AS email, COUNT(*) AS periods FROM kept WHERE o_custkey % 10 <> 3 GROUP BY ALL)
+SELECT *, (SELECT COUNT(*) FROM hits) AS total_hits FROM hits ORDER BY employee_id LIMIT 200""")

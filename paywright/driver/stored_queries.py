@@ -16,6 +16,7 @@ from paywright.operators import extract
 from paywright.operators.figures import named_records, observed, page_in_one_pass, stream_figures
 from paywright.plans import filters
 from paywright.plans.payroll import Payroll
+from paywright.plans.search_documents import last_pay_periods
 from paywright.plans.search_index import SearchIndex
 from paywright.schemas import NET_PAY_KEYS
 from paywright.session import scratch_dir
@@ -242,3 +243,43 @@ def stream_pay_notices(spark, sf):
     feed(spark, sf, ("timeentry", "employee"), start, to_log=lambda rows, *entities: rows)
     found = store.read(spark, T.StructType([T.StructField("off", T.LongType()), T.StructField("employee_id", T.LongType())]))
     return found.select("off", "employee_id")
+
+
+# Logs that bite ------------------------------------------------------------------------------------------------------
+
+
+@query
+def event_identity_forms(spark, sf):
+    """Identity of events of both forms, in both spellings."""
+    found = event_log.resolve_identity(tables.direct_events(spark, sf))
+    return found.select("off", "employee_id", "event_id", "event_type", F.unix_micros("occurred_on").alias("occurred_us"))
+
+
+@query
+def landed_identity_forms(spark, sf):
+    """The same out of a landed log, which files every record under the topic of its own type."""
+    path = scratch_dir(spark, "landed-forms")
+    log = tables.direct_events(spark, sf).select("off", F.to_json(F.struct("data")).alias("value"))
+    event_log.land(log, path)
+    stored = spark.read.schema(event_log.LANDED).parquet(path)
+    found = event_log.resolve_identity(stored.drop("topic")).join(stored.select("off", "topic"), "off")
+    return found.select("off", "employee_id", "event_id", "event_type", F.unix_micros("occurred_on").alias("occurred_us"), "topic")
+
+
+def _orders_payroll(spark: SparkSession, sf: str) -> Payroll:
+    return Payroll.of(event_log.events_of(tables.orders_log(spark, sf)))
+
+
+@query
+def orders_last4_periods(spark, sf):
+    """The four newest periods of employees who have worked in dozens."""
+    newest = last_pay_periods(_orders_payroll(spark, sf).net_pay())
+    return newest.select("employee_id", "pay_period_number", "total_hours_worked", "net_pay")
+
+
+@query
+def orders_search_page(spark, sf):
+    """The first 200 of more documents, with the number of all hits."""
+    docs = _orders_payroll(spark, sf).documents()
+    hits = docs.filter(filters.compile_simple("buyer", filters.searchable_fields(docs.schema)))
+    return filters.page(hits).select("employee_id", "email", F.size("pay_periods").cast("bigint").alias("periods"), "total_hits")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paywright.sources.event_log import events_of
+from paywright.sources.event_log import EMPTY_ID, events_of
 
 # Fixed values of the mapping.
 FIRST_NAMES = ["Ada", "Grace", "Mary Ann", "Edsger", "Barbara"]
@@ -55,7 +55,11 @@ def spread(rows: DataFrame) -> DataFrame:
     The branches of a query share it, so the table is scanned once however many of them there are, and every core gets
     rows to build and parse even where the table is a single file split.
     """
-    return rows.repartition("event_id")
+    return spread_by(rows, "event_id")
+
+
+def spread_by(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(key)
 
 
 def event_rows(spark: SparkSession, sf_dir: str, *entities: str) -> DataFrame:
@@ -233,3 +237,41 @@ log AS (
     CAST((CAST(epoch(date_trunc('second', ts)) AS BIGINT) * 1000 - 1704067200000) // 1209600000 AS BIGINT) AS per
   FROM raw
 )"""
+
+
+def direct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log events (off, data) of which some are events themselves: with their own id and type, in either spelling.
+
+    Of these some have an id that says nothing; their payload is read as an entity, which it is not.
+    """
+    rows = event_rows(spark, sf_dir).selectExpr("*", "CAST(get_json_object(props, '$.k') AS INT) AS k")
+    entities = events_of(to_log(rows.filter("k % 10 <> 7").drop("k")))
+    members = {
+        "EventId": f"CASE WHEN k % 20 = 17 THEN '{EMPTY_ID}' ELSE concat('{EVENT_ID_STEM}', lpad(CAST(event_id AS STRING), 12, '0')) END",
+        "EventType": "concat('projected.', event_type)",
+        "EmployeeId": _EMPLOYEE,
+        "OccurredOn": _iso("CAST(ts AS TIMESTAMP)"),
+    }
+    said = lambda low: "to_json(named_struct(" + ", ".join(f"'{n[0].lower() + n[1:] if low else n}', {sql}" for n, sql in members.items()) + "))"
+    direct = rows.filter("k % 10 = 7").selectExpr("event_id AS off", f"CASE WHEN k % 3 = 0 THEN {said(True)} ELSE {said(False)} END AS data")
+    return entities.unionByName(direct)
+
+
+def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw log (off, value) out of ``orders``, whose days span years: each order is a shift of its customer, and sets the
+    customer's rate for the pay period of that day. Dates are moved by 32 years, to where periods are counted from."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.expr("CAST(o_orderdate + INTERVAL 32 YEARS AS TIMESTAMP)").alias("day"))
+    employee = f"concat('{EMPLOYEE_ID_STEM}', lpad(CAST(o_custkey AS STRING), 12, '0'))"
+    said = "to_json(named_struct('type', 'payroll.event', 'source', 'orders', 'data', to_json({data})))"
+    domain = "array(named_struct('EventType', '{kind}'))"
+    shift = (
+        f"named_struct('Id', concat('o-', o_orderkey), 'EmployeeId', {employee}, 'ClockIn', {_iso('day')}, "
+        f"'HoursWorked', CAST(1 + o_orderkey % 9 AS DOUBLE), 'DomainEvents', {domain.format(kind='timeentry.clockedout')})"
+    )
+    rate = (
+        f"named_struct('Id', {employee}, 'FirstName', {_sql_at(FIRST_NAMES).replace('k %', 'o_custkey %')}, 'LastName', concat('Buyer', o_custkey), "
+        "'Email', concat('buyer', o_custkey, '@example.com'), 'PayType', 1, 'PayRate', CAST(10 + o_orderkey % 31 AS DOUBLE), "
+        f"'PayPeriodHours', 40, 'IsActive', o_custkey % 10 <> 3, 'UpdatedAt', {_iso('day')}, 'DomainEvents', {domain.format(kind='employee.updated')})"
+    )
+    both = f"array(named_struct('off', o_orderkey * 2, 'value', {said.format(data=shift)}), named_struct('off', o_orderkey * 2 + 1, 'value', {said.format(data=rate)}))"
+    return spread_by(rows, "o_orderkey").selectExpr(f"explode({both}) AS x").select("x.*")
