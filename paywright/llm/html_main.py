@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,10 +12,14 @@ from pyspark.sql import DataFrame
 
 from paywright.llm.common import arrow_batches
 
-#: Markup of a page: comments, declarations and tags. Quoted attribute values may hold a ">". No part can back up.
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>", re.S
-)
+#: Markup of a page: comments, declarations and tags. Quoted attribute values may hold a ">"; a quote without a partner is
+#: a character like others. The loop over a tag gives nothing back, so a page is scanned once, or once in vain to its end.
+_OTHERS = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+_NAME = r"<(/?)([a-zA-Z][^\s/>]*+)"
+MARKUP = re.compile(_OTHERS + "|" + _NAME + r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
+#: The same where quotes do not close before the page ends: a tag then ends at the next ">".
+BROKEN_MARKUP = re.compile(_OTHERS + "|" + _NAME + r"([^>]*+)>", re.S)
+TAG_START = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*+)\s*+(?:=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 
 #: Elements whose content is no markup.
@@ -22,8 +27,8 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noe
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that are never part of an article.
 DROPPED = {
-    "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "template", "svg", "math",
-    "canvas", "audio", "video", "object", "datalist", "label", "fieldset",
+    "nav", "header", "footer", "aside", "form", "button", "select", "menu", "dialog", "head", "template", "svg", "canvas",
+    "audio", "video", "object", "datalist", "fieldset",
 } | RAW
 #: Elements that start and end a block of text.
 BLOCKS = {
@@ -32,16 +37,19 @@ BLOCKS = {
     "address", "center", "details", "summary",
 } | DROPPED
 #: Roles of elements around an article.
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "note"}
-#: Words of class and id values that mark what is around an article.
-AROUND = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|"
-    r"cookies?|consent|gdpr|notices?|popups?|modals?|overlays?|alerts?|sidebars?|side|widgets?|related|recommend(?:ed|ations?)?|"
-    r"comments?|commentlist|disqus|replies|reply|respond|discussion|share|sharing|social|newsletter|subscribe|subscription|"
-    r"signup|login|breadcrumbs?|pagination|pager|navs?|navbar|navigation|menus?|topbar|toolbar|masthead|footers?|headers?|"
-    r"copyright|legal|disclaimer|outbrain|taboola|skip|search|form)(?=$|[\s_-])",
-    re.I,
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form"}
+#: Words of class and id values that name what is around an article, and words that only say what shape it has.
+AROUND = set(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner "
+    "banners cookie cookies consent gdpr notice notices popup popups modal modals overlay overlays sidebar sidebars widget widgets related "
+    "recommended recommendations comment comments commentlist disqus replies respond share sharing social newsletter subscribe subscription "
+    "signup breadcrumb breadcrumbs pagination pager nav navs navbar navigation menu menus topbar toolbar masthead footer footers header headers "
+    "outbrain taboola".split()
 )
+SHAPES = set("area bar block bottom box buttons container content entry inner items left links list panel posts right section site slot stories top unit wrap wrapper".split())
+WORDS = re.compile(r"[\s_-]+")
+#: What a container loses for a class or id that holds a word of ``AROUND`` among others.
+DOUBT = -25.0
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: An open element that a new one of these ends.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -52,31 +60,45 @@ COMMAS = re.compile("[,،、，]")
 
 
 class Node:
-    __slots__ = ("tag", "up", "out", "link", "score", "chars", "linked")
+    __slots__ = ("tag", "up", "out", "doubt", "link", "score", "chars", "linked", "article")
 
-    def __init__(self, tag: str, up: Node | None, out: bool, link: bool):
+    def __init__(self, tag: str, up: Node | None, out: bool, link: bool, doubt: bool = False):
         self.tag, self.up = tag, up
+        self.doubt = doubt
+        #: The outermost article or main element around, or this one.
+        self.article: Node | None = (up.article if up else None) or (self if tag in ("article", "main") else None)
         self.out = out
         self.link = link
         self.score: float | None = None
         self.chars = self.linked = 0
 
 
-def _is_around(tag: str, attributes: str) -> bool:
+def _is_around(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is surely not part of an article, and whether its class or id makes that likely.
+
+    Sure are the elements that are made for it, hidden ones, and classes that say nothing else: ``cookie-notice``, but
+    not ``related-work`` or ``side-by-side``.
+    """
     if tag in DROPPED:
-        return True
+        return True, True
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    doubt = False
     for name, value in ATTRIBUTE.findall(attributes):
         name = name.lower()
         value = value.strip("\"'")
-        if name in ("class", "id") and AROUND.search(value):
-            return True
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "style" and HIDDEN.search(value):
-            return True
-        if name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+        if name in ("class", "id"):
+            for token in value.lower().split():
+                words = [w for w in WORDS.split(token) if w]
+                if not AROUND.isdisjoint(words):
+                    if all(w in AROUND or w in SHAPES or w.isdigit() for w in words):
+                        return True, True
+                    doubt = True
+        elif name == "role" and value.lower() in ROLES or name == "hidden" or name == "style" and HIDDEN.search(value):
+            return True, True
+        elif name == "aria-hidden" and value.lower() == "true":
+            return True, True
+    return False, doubt
 
 
 def blocks_of(page: str) -> list[tuple[Node, str]]:
@@ -84,8 +106,11 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
     root = Node("root", None, False, False)
     stack = [root]
     found: list[tuple[Node, str]] = []
+    nodes: list[Node] = []
+    open_tags: Counter[str] = Counter()
     text: list[str] = []
     linked = 0
+    markup = MARKUP
 
     def flush(holder: Node) -> None:
         nonlocal linked
@@ -93,12 +118,8 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
                 found.append((holder, whole))
-                n, of_links = len(whole), min(linked, len(whole))
-                node: Node | None = holder
-                while node is not None:
-                    node.chars += n
-                    node.linked += of_links
-                    node = node.up
+                holder.chars += len(whole)
+                holder.linked += min(linked, len(whole))
             text.clear()
         linked = 0
 
@@ -111,6 +132,7 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
     def close(depth: int) -> None:
         if any(n.tag in BLOCKS for n in stack[depth:]):
             flush(holder())
+        open_tags.subtract(n.tag for n in stack[depth:])
         del stack[depth:]
 
     at, size = 0, len(page)
@@ -124,7 +146,14 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
                 linked += lt - at
         if lt == size:
             break
-        mark = MARKUP.match(page, lt)
+        mark = markup.match(page, lt)
+        if mark is None and TAG_START.match(page, lt):
+            if page.find(">", lt) < 0:  # no tag ends any more
+                if not stack[-1].out:
+                    text.append(page[lt:])
+                break
+            markup = BROKEN_MARKUP
+            mark = markup.match(page, lt)
         if mark is None:
             if not stack[-1].out:
                 text.append("<")
@@ -139,7 +168,7 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
             text.append(" ")
             continue
         if mark[1]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_tags[tag] > 0 else ():
                 if stack[depth].tag == tag:
                     close(depth)
                     break
@@ -163,14 +192,20 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
                 if stack[depth].tag in FENCE:
                     break
         top = stack[-1]
-        node = Node(tag, top, top.out or _is_around(tag, mark[3]), top.link or tag == "a")
+        out, doubt = _is_around(tag, mark[3])
+        node = Node(tag, top, top.out or out, top.link or tag == "a", doubt)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
             at = page.find(">", end.start()) + 1 if end else size
             at = at or size
         elif tag not in VOID and not (mark[3].endswith("/") and tag not in BLOCKS):
             stack.append(node)
+            nodes.append(node)
+            open_tags[tag] += 1
     flush(holder())
+    for node in reversed(nodes):  # children come behind their parents
+        node.up.chars += node.chars
+        node.up.linked += node.linked
     return found
 
 
@@ -195,26 +230,33 @@ def main_text(page: str | None) -> str:
         level = 0
         while up is not None and level < 6:
             if up.score is None:
-                up.score = START.get(up.tag, 0.0)
+                up.score = START.get(up.tag, 0.0) + (DOUBT if up.doubt else 0.0)
                 scored.append(up)
             up.score += points * share
             level += 1
             share = 0.5 if level == 1 else share / 3
             up = up.up
     if not scored:
-        articles = {_article(n) for n, _ in blocks} - {None}
-        return "\n".join(t for n, t in blocks if not articles or _article(n) is not None)
+        inside = any(n.article is not None for n, _ in blocks)
+        return "\n".join(t for n, t in blocks if not inside or n.article is not None)
     value = {id(n): n.score * (1 - n.linked / max(1, n.chars)) for n in scored}
     best = max(scored, key=lambda n: value[id(n)])
-    top = _article(best) or best
+    top = best.article or best
     limit = max(10.0, 0.2 * value[id(best)])
     kept: dict[int, bool] = {}
+    sides: dict[int, Node | None] = {}
     out = []
     for node, text in blocks:
         # The child of the best element's parent that holds the block, if there is one.
         side: Node | None = node
+        passed = []
         while side is not None and side is not top and side.up is not top.up:
+            if id(side) in sides:
+                side = sides[id(side)]
+                break
+            passed.append(id(side))
             side = side.up
+        sides.update(dict.fromkeys(passed, side))
         if side is None:
             continue
         if id(side) not in kept:
@@ -229,16 +271,6 @@ def main_text(page: str | None) -> str:
     return "\n".join(out)
 
 
-def _article(node: Node | None) -> Node | None:
-    """The outermost article or main element around a node."""
-    found = None
-    while node is not None:
-        if node.tag in ("article", "main"):
-            found = node
-        node = node.up
-    return found
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``.
 
