@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 
@@ -45,6 +47,18 @@ def arrow_batches(spark: SparkSession, rows: int = 1000, max_bytes: int = 8 << 2
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query go as soon as it has ended, for the steps inside; the session's own setting returns."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold(modulus: int, held: int, key: str = "doc_id") -> Column:
     """True for the held-out rows. A missing id is in no fold, so it is not held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == held, F.lit(False))
@@ -75,11 +89,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None,
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column, per_class: int, max_bytes: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` texts of either label from the rows that may be learned from, in an order of hashed ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column, per_class: int, max_bytes: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """At most ``per_class`` texts of either label from the rows that may be learned from, in an order of hashed ids, and
+    how many there are of either.
 
-    Labels that are null or say both things about one id are not used. Texts above ``max_bytes`` are left to others, so
-    that what reaches the driver is bounded by ``2 * per_class * max_bytes``.
+    Labels that are null or say both things about one id are not used; of several texts of one id the smallest counts.
+    Texts above ``max_bytes`` are left to others, so that what reaches the driver is bounded by
+    ``2 * per_class * max_bytes``.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -89,14 +105,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held: Column
         .where("y = top")
         .drop("top")
     )
-    # Ids are picked first, so that no text is shuffled or sorted; then only the picked texts are read.
+    # Ids are picked first, in one job for both labels, so that no text is shuffled or sorted; then only their texts are read.
     fit = docs.select("doc_id", "text").where(~held & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
     ids = fit.select("doc_id").distinct().join(known, "doc_id")
-    picked = [r for v in (0, 1) for r in ids.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect()]
-    label_of = {r["doc_id"]: r["y"] for r in picked}
+    counts = ids.groupBy("y").count().select(F.lit(None).cast(ids.schema["doc_id"].dataType).alias("doc_id"), "y", "count")
+    picked = union_all([ids.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)])
+    found = picked.select("doc_id", "y", F.lit(None).cast("long").alias("count")).unionByName(counts).collect()
+    label_of = {r["doc_id"]: r["y"] for r in found if r["count"] is None}
     chosen = docs.sparkSession.createDataFrame([(i,) for i in label_of], docs.select("doc_id").schema)
-    rows = fit.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    return [(r["text"], label_of[r["doc_id"]]) for r in rows.limit(4 * per_class).toLocalIterator()]
+    rows = fit.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return [(r["text"], label_of[r["doc_id"]]) for r in rows.toLocalIterator()], {0: 0, 1: 0, **{r["y"]: r["count"] for r in found if r["count"] is not None}}
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ class QualityModel:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> QualityModel:
     """Learns from at most ``per_class`` texts of each label, none of them from the held-out fold or above 32 KiB."""
-    return QualityModel(labelled_sample(docs, labels, "quality", fold(5, 0), per_class, MAX_TRAIN_BYTES))
+    return QualityModel(labelled_sample(docs, labels, "quality", fold(5, 0), per_class, MAX_TRAIN_BYTES)[0])
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from paywright.llm.common import arrow_batches, fit_logistic, fold, labelled_sample, logistic
+from paywright.llm.common import Unions, arrow_batches, fit_logistic, fold, labelled_sample, logistic
 
 PER_CLASS = 3000
 MAX_TRAIN_BYTES = 32 << 10
@@ -84,54 +84,115 @@ def _surprise(hits: int, of: int, rate: float) -> float:
 
 
 class LabelModel:
-    """Two-class mixture over binary votes, fitted by expectation maximisation.
+    """Generative model of binary votes: how often voters fire on texts of either kind, and what they have in common.
 
-    ``fire[c, j]`` is how often voter j fires in class c (its accuracy in either direction). Voters whose votes agree
-    beyond what the classes explain count less: each log-odds is divided by 1 + its correlations with the others.
+    Toxic texts are of several kinds that share no voters (languages, say). Voters that fire together beyond chance form a
+    group, and each group is a mixture of two classes of its own: texts of its kind of toxicity, and all others.
+    ``fire[c, j]`` is how often voter j fires in class c of its group (its accuracy in either direction); rates and the
+    share of the class come from expectation maximisation, started with texts that several voters of the group agree on.
+    A voter that agrees with none says nothing: both its rates are its overall one.
+
+    Correlations are what votes of a group share beyond the classes: those of the residuals that exceed their sampling
+    error. The log odds of correlated voters count by the share that is left to each when all are used together (the
+    solution of the correlation matrix), so that two voters that say the same count once.
+
+    A text is toxic unless it is in no group's class. ``prior`` is the posterior of all texts if there are no groups.
     """
 
-    def __init__(self, votes: np.ndarray, prior: float, rounds: int = 25):
+    def __init__(self, votes: np.ndarray, prior: float, weight: np.ndarray | None = None, rounds: int = 25):
         n, m = votes.shape
-        self.prior = float(np.clip(prior, 0.01, 0.99))
-        # The start: a voter that fires is believed, texts without any vote are clean.
-        post = np.where(votes.any(1), 0.9, self.prior * 0.1)
-        self.discount = np.ones(m)
+        self.prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
+        weight = np.ones(n) if weight is None else weight
+        weight = weight * (n / weight.sum())
+        mean = np.clip(weight @ votes / n, 1e-4, 1 - 1e-4)
+        self.fire = np.stack([mean, mean])
+        self.discount, self.correlations = np.ones(m), np.zeros((m, m))
+        self.shares: list[float] = []
+        self.groups = _agreeing(votes)
+        for group in self.groups:
+            self._fit(votes[:, group], weight, group, rounds)
+
+    def _fit(self, votes: np.ndarray, weight: np.ndarray, group: np.ndarray, rounds: int) -> None:
+        n = len(votes)
+        mean = weight @ votes / n
+        post = np.array([0.01, 0.3, 0.95])[np.minimum(votes.sum(1), 2).astype(int)]
+        self.shares.append(0.0)
         for _ in range(rounds):
-            weight = np.array([(1 - post).sum(), post.sum()])
-            self.fire = np.stack([(1 - post) @ votes + 0.05, post @ votes + 0.1]) / (weight[:, None] + 1.0)
-            self.fire = np.clip(self.fire, 1e-4, 1 - 1e-4)
-            self.fire[1] = np.maximum(self.fire[1], self.fire[0])
-            rest = votes - np.where(post[:, None] > 0.5, self.fire[1], self.fire[0])
-            sd = np.sqrt((rest**2).mean(0)) + 1e-6
-            corr = (rest.T @ rest) / n / np.outer(sd, sd)
-            np.fill_diagonal(corr, 0)
-            self.discount = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(0))
-            post = self.posterior(votes)
+            mass = np.array([weight @ (1 - post), weight @ post])
+            self.shares[-1] = float(np.clip(mass[1] / n, 1e-4, 0.5))
+            # Each rate keeps a little of the voter's overall one, so that none rests on nothing.
+            fire = np.stack([(weight * (1 - post)) @ votes, (weight * post) @ votes]) + 2 * mean
+            self.fire[:, group] = np.clip(fire / (mass[:, None] + 2), 1e-4, 1 - 1e-4)
+            self._correlate(votes, post, weight, group)
+            post = self._of_group(votes, group, self.shares[-1])
+
+    def _correlate(self, votes: np.ndarray, post: np.ndarray, weight: np.ndarray, group: np.ndarray) -> None:
+        n, m = votes.shape
+        fire = self.fire[:, group]
+        rest = (votes - (post[:, None] * fire[1] + (1 - post[:, None]) * fire[0])) * np.sqrt(weight)[:, None]
+        sd = np.sqrt((rest**2).mean(0)) + 1e-6
+        corr = rest.T @ rest / n / np.outer(sd, sd)
+        np.fill_diagonal(corr, 0)
+        corr = np.where(np.abs(corr) > max(0.05, 4 / np.sqrt(n)), np.clip(corr, -0.95, 0.95), 0.0)
+        gain = (fire[1] - fire[0]) / sd
+        left = np.linalg.lstsq(corr + np.eye(m) * 1.05, gain, rcond=None)[0] * 1.05
+        self.correlations[np.ix_(group, group)] = corr
+        self.discount[group] = np.clip(np.where(np.abs(gain) > 1e-9, left / np.where(np.abs(gain) > 1e-9, gain, 1.0), 1.0), 0.0, 1.0)
+
+    def _of_group(self, votes: np.ndarray, group: np.ndarray, share: float) -> np.ndarray:
+        fire, discount = self.fire[:, group], self.discount[group]
+        on = np.log(fire[1] / fire[0]) * discount
+        off = np.log((1 - fire[1]) / (1 - fire[0])) * discount
+        return logistic(votes @ on + (1 - votes) @ off + np.log(share / (1 - share)))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on = np.log(self.fire[1] / self.fire[0]) * self.discount
-        off = np.log((1 - self.fire[1]) / (1 - self.fire[0])) * self.discount
-        return logistic(votes @ on + (1 - votes) @ off + np.log(self.prior / (1 - self.prior)))
+        if not self.groups:
+            return np.full(len(votes), self.prior)
+        clean = np.ones(len(votes))
+        for group, share in zip(self.groups, self.shares, strict=True):
+            clean *= 1 - self._of_group(votes[:, group], group, share)
+        return 1 - clean
+
+
+def _agreeing(votes: np.ndarray) -> list[np.ndarray]:
+    """Groups of voters that fire together more often than chance: connected by correlations beyond their sampling error."""
+    n, m = votes.shape
+    sure = votes.sum(0) >= 3
+    rest = (votes - votes.mean(0)) / (votes.std(0) + 1e-9)
+    linked = (rest.T @ rest / n > max(0.05, 4 / np.sqrt(n))) & np.outer(sure, sure)
+    unions = Unions(m)
+    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+        unions.join(i, j)
+    roots = np.array([unions.root(i) for i in range(m)])
+    groups = [np.flatnonzero(roots == r) for r in np.unique(roots)]
+    return [g for g in groups if len(g) > 1]
 
 
 class ToxicModel:
-    def __init__(self, rows: list[tuple[str, int]]):
+    """``counts`` are the learnable labels of either kind, of which ``rows`` may be a sample: the model takes the share of
+    the toxic class from them, and texts weigh what they stand for, so that a larger table moves no score."""
+
+    def __init__(self, rows: list[tuple[str, int]], counts: dict[int, int] | None = None):
         lexicon = list(dict.fromkeys([*ABUSE, *mine(rows)]))
         self.index = {k: j for j, k in enumerate(lexicon)}
         self.width = len(lexicon) + len(PATTERNS)
         self.weights = None
-        self.constant = float(np.mean([y for _, y in rows])) if rows else 0.0
         y = np.array([label for _, label in rows], int)
+        drawn = np.bincount(y, minlength=2)
+        counts = {v: int(drawn[v]) for v in (0, 1)} if counts is None else counts
+        self.constant = counts[1] / max(1, counts[0] + counts[1])
         if len(rows) < 8 or y.min() == y.max():
             return
+        weight = np.array([counts[v] / drawn[v] for v in (0, 1)])[y]
+        weight /= weight.mean()
         found = [self.votes(t) for t, _ in rows]
         votes = np.stack([v for v, _ in found])
-        self.labels = LabelModel((votes > 0).astype(float), y.mean())
+        words = np.array([n for _, n in found])
+        self.labels = LabelModel((votes > 0).astype(float), self.constant, weight)
         posterior = self.labels.posterior((votes > 0).astype(float))
-        self.weights = fit_logistic(self._features(votes, np.array([n for _, n in found])), posterior, ridge=0.5)
+        self.weights = fit_logistic(self._features(votes, words), posterior, weight, ridge=0.5)
         # Posterior labels set the direction; the training labels only place the scale (two numbers).
-        margin = self._margin(votes, np.array([n for _, n in found]))
-        self.scale = fit_logistic(margin[:, None], y.astype(float), ridge=1e-2)
+        self.scale = fit_logistic(self._margin(votes, words)[:, None], y.astype(float), weight, ridge=1e-2)
 
     def votes(self, text: str) -> tuple[np.ndarray, int]:
         """Hits of every voter, and the number of words."""
@@ -166,8 +227,9 @@ class ToxicModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicModel:
-    """Learns from at most ``per_class`` texts of each label, none of them from the held-out fold or above 32 KiB."""
-    return ToxicModel(labelled_sample(docs, labels, "toxic", fold(4, 2), per_class, MAX_TRAIN_BYTES))
+    """Learns from at most ``per_class`` texts of each label, none of them from the held-out fold or above 32 KiB (longer
+    ones are scored like all others)."""
+    return ToxicModel(*labelled_sample(docs, labels, "toxic", fold(4, 2), per_class, MAX_TRAIN_BYTES))
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:

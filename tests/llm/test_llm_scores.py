@@ -1,5 +1,7 @@
 """Quality, toxicity and language on held-out rows, decontamination and extraction on small cases."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -143,8 +145,31 @@ def test_odd_pages(page, want):
 
 
 def test_hard_markup_ends_soon():
-    for page in ("<" * 100_000, "<a '" * 30_000, '<a b="' + "x" * 200_000, "<div>" * 20_000 + "deep", "<p a='1" * 20_000):
+    start = time.monotonic()
+    for page in ("<" * 100_000, "<a '" * 30_000, '<a b="' + "x" * 200_000, "<div>" * 20_000 + "deep", "<p a='1" * 20_000, '<a ">" ' * 20_000,
+                 "<div>x" * 20_000 + "</p>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000, "<a '\">\"" * 20_000):
         html_main.main_text(page)
+    assert time.monotonic() - start < 20
+
+
+@pytest.mark.parametrize("part", ["<p class='legal'>{}</p>", "<div class='side-by-side'>{}</div>", "<section id='related-work'><p>{}</p></section>",
+                                  "<p id='search-results-show'>{}</p>", "<p class='note'>{}</p>", "<div class='reply-to-critics'>{}</div>"])
+def test_one_word_of_a_class_drops_nothing(part):
+    text = "A sentence that belongs to the article, whatever its class says."
+    first = "The first paragraph of it, with a comma, and another one."
+    assert html_main.main_text(f"<body><article><p>{first}</p>{part.format(text)}</article></body>") == f"{first}\n{text}"
+
+
+@pytest.mark.parametrize("part", ["<div class='ad-slot'>{}</div>", "<section class='comments'><p>{}</p></section>", "<div id='cookie_notice'>{}</div>", "<ul class='share-buttons top'><li>{}</li></ul>",
+                                  "<div class='x newsletter-signup'><p>{}</p></div>", "<p hidden>{}</p>", "<div role=navigation>{}</div>"])
+def test_what_is_around_goes_from_inside_an_article(part):
+    first = "The first paragraph of it, with a comma, and another one."
+    assert html_main.main_text(f"<body><article><p>{first}</p>{part.format('Not of the article, at all, or so.')}</article></body>") == first
+
+
+def test_words_inside_a_sentence_stay():
+    page = "<article><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> and a <label>named thing</label>, in one sentence.</p></article>"
+    assert html_main.main_text(page) == "Energy E=m and a named thing, in one sentence."
 
 
 def test_extract_frame(spark):
