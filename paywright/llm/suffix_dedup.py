@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paywright.llm.common import arrow_batches, union_all
+from paywright.llm.common import arrow_batches, dropping_shuffles, union_all
 from paywright.session import materialize
 
 MIN_BYTES = 100
@@ -433,8 +433,12 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     more, the strings that share a core are grouped by their hashes in Spark. All three ways find the same strings.
     Steps end in written tables, after which their shuffle files go.
     """
+    with dropping_shuffles(docs.sparkSession):
+        return _repeated_spans(docs, length)
+
+
+def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     arrow_batches(spark, rows=2000, max_bytes=4 << 20)
     keyed = _keyed(docs)
     found = materialize(keyed.where(F.octet_length("body") >= length).mapInArrow(lambda b: _find_runs(b, length), RUNS), "runs")
