@@ -19,10 +19,13 @@ from paywright.streaming.store import BatchStore
 PARTS = 5
 
 
-def _part(spark: SparkSession, sf: str, part: int, *entities: str) -> DataFrame:
+def _end(spark: SparkSession, sf: str) -> int:
+    return (tables.table(spark, sf, "events").agg(F.max("event_id")).first()[0] or 0) + 1
+
+
+def _part(spark: SparkSession, sf: str, part: int, end: int, *entities: str) -> DataFrame:
     """Rows of the events table in one part of the offset range; the kinds and the range reach the Parquet scan."""
     rows = tables.table(spark, sf, "events")
-    end = (rows.agg(F.max("event_id")).first()[0] or 0) + 1
     if entities:
         rows = rows.filter(F.col("event_type").isin(tables.kinds_of(*entities)))
     low, high = -(-part * end // PARTS), -(-(part + 1) * end // PARTS)
@@ -35,8 +38,9 @@ def feed(spark: SparkSession, sf: str, entities: tuple[str, ...], start, shape=l
     The job starts over with the same checkpoint for every part, so each run continues from the state of the one before.
     """
     folder, checkpoint = scratch_dir(spark, "log"), scratch_dir(spark, "checkpoint")
+    end = _end(spark, sf)
     for part in range(PARTS):
-        _part(spark, sf, part, *entities).write.mode("append").parquet(folder)
+        _part(spark, sf, part, end, *entities).write.mode("append").parquet(folder)
         rows = spark.readStream.schema(tables.SCHEMAS["events"]).parquet(folder)
         start(shape(to_log(rows, *entities)), checkpoint).awaitTermination()
 
@@ -75,7 +79,7 @@ def stream_replay(spark, sf):
     job = jobs.PayStream(spark, scratch_dir(spark, "replay"))
     entities = ("timeentry", "employee")
     _run(spark, sf, job, *entities)
-    job.process(tables.to_log(_part(spark, sf, PARTS - 1, *entities), *entities), PARTS - 1)
+    job.process(tables.to_log(_part(spark, sf, PARTS - 1, _end(spark, sf), *entities), *entities), PARTS - 1)
     return job.gross_table().drop("last_off")
 
 

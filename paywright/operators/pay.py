@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paywright.functions import periods
 from paywright.functions.aggregates import latest
 from paywright.functions.scalars import exact_sum
+from paywright.operators.extract import RATE_ENTRY
 
 PERIOD_KEYS = ["employee_id", "pay_period_number"]
 ENTRY_KEYS = [*PERIOD_KEYS, "time_entry_id"]
@@ -86,11 +87,16 @@ def merge_partials(partials: DataFrame) -> DataFrame:
     )
 
 
-def gross_from_partials(partials: DataFrame) -> DataFrame:
-    """Second level: one row per employee and period, with the offset of the last event that shaped it."""
+def gross_from_partials(partials: DataFrame, with_hours: bool = False) -> DataFrame:
+    """Second level: one row per employee and period, with the offset of the last event that shaped it.
+
+    ``with_hours`` adds what ``hours_by_period`` counts: ``entry_hours`` and ``entry_events``, the latter 0 where the period
+    has no time entry.
+    """
     per_period = partials.groupBy(*PERIOD_KEYS).agg(
         *[F.max_by(F.col(f"{c}.v"), F.col(f"{c}.off")).alias(c) for c in RATE_TERMS],
         exact_sum(F.col("hours_worked")).alias("entry_hours"),
+        F.sum(F.when(F.col("time_entry_id") == RATE_ENTRY, 0).otherwise(F.col("event_count"))).alias("entry_events"),
         F.sum("event_count").alias("event_count"),
         F.max("last_off").alias("last_off"),
     )
@@ -103,6 +109,7 @@ def gross_from_partials(partials: DataFrame) -> DataFrame:
     ).select(
         *PERIOD_KEYS, "pay_rate", "pay_type", "pay_period_hours", "total_hours_worked", "effective_hourly_rate",
         "gross_pay", "pay_period_start", "pay_period_end", "event_count", "last_off",
+        *(["entry_hours", "entry_events"] if with_hours else []),
     )
 
 

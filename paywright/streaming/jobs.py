@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from paywright.functions.aggregates import latest_rows
@@ -26,9 +27,9 @@ from paywright.sources.changelog import to_changelog
 from paywright.sources.event_log import events_of
 from paywright.sources.published import Published
 from paywright.streaming.layouts import (
-    DEDUCTIONS, DOCUMENTS, FEED, GONE, GROSS, HOURS, INFO, NET, PARTIALS, PAY_ROWS, RECORDS, TAX,
+    DEDUCTIONS, DOCUMENTS, FEED, GONE, GROSS, INFO, NET, PARTIALS, PAY, PAY_ROWS, RECORDS, SETTINGS, TAX,
 )
-from paywright.streaming.store import BATCH, DELETED, BatchStore, Snapshot
+from paywright.streaming.store import BATCH, DELETED, BatchStore, Snapshot, TieredStore, union_all
 
 
 def run(
@@ -51,29 +52,17 @@ class PayStream:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        self.partials = BatchStore(f"{folder}/partials", ("pay_period_number",))
-        self.hours = BatchStore(f"{folder}/hours", ("pay_period_number",))
-        self.gross = BatchStore(f"{folder}/gross", ("pay_period_number",))
+        self.partials = TieredStore(f"{folder}/partials", PARTIALS, pay.merge_partials, ("pay_period_number",))
+        #: Gross pay and hours of the periods each batch touched; read as ``GROSS`` it is gross pay alone.
+        self.gross = BatchStore(f"{folder}/pay", ("pay_period_number",))
 
     def process(self, raw: DataFrame, batch_id: int) -> None:
         self.process_events(events_of(raw), batch_id)
 
     def process_events(self, events: DataFrame, batch_id: int) -> None:
         self.partials.write(pay.entry_partials(extract.gross_pay_events(events)), batch_id)
-        merged = pay.merge_partials(self._touched_partials(batch_id)).persist()
-        try:
-            self.gross.write(pay.gross_from_partials(merged).select(*GROSS.fieldNames()), batch_id)
-            self.hours.write(self._hours(merged).select(*HOURS.fieldNames()), batch_id)
-        finally:
-            merged.unpersist()
-
-    @staticmethod
-    def _hours(merged: DataFrame) -> DataFrame:
-        entries = merged.filter(F.col("time_entry_id") != extract.RATE_ENTRY)
-        totals = [
-            pay.exact_sum(F.col("hours_worked")).alias("total_hours_worked"), F.sum("event_count").alias("event_count"),
-        ]
-        return pay.with_period_bounds(entries.groupBy(*pay.PERIOD_KEYS).agg(*totals))
+        merged = pay.merge_partials(self._touched_partials(batch_id))
+        self.gross.write(pay.gross_from_partials(merged, with_hours=True).select(*PAY.fieldNames()), batch_id)
 
     def _touched_partials(self, batch_id: int) -> DataFrame:
         """Partials of all batches for the (employee, period) pairs of this one.
@@ -81,19 +70,26 @@ class PayStream:
         Partials are partitioned by period, and a batch usually touches the current one or two: the touched numbers prune
         the partitions. A timestamp lies in one of 261,000 periods (years 1 to 9999), so they are at most 2 MB to broadcast.
         """
-        history = self.partials.read(self.spark, PARTIALS, batch_id)
-        touched = history.filter(F.col(BATCH) == batch_id).select(*pay.PERIOD_KEYS).distinct()
+        touched = self.partials.batch(self.spark, batch_id).select(*pay.PERIOD_KEYS).distinct()
         numbers = F.broadcast(touched.select("pay_period_number").distinct())
-        pruned = history.join(numbers, "pay_period_number", "left_semi")
+        pruned = self.partials.read(self.spark, batch_id).join(numbers, "pay_period_number", "left_semi")
         return join_one_per_key(pruned, touched, pay.PERIOD_KEYS, "left_semi", spread="time_entry_id")
 
     def hours_table(self) -> DataFrame:
-        return self.hours.table(self.spark, HOURS, pay.PERIOD_KEYS).drop(BATCH)
+        newest = self.gross.table(self.spark, PAY, pay.PERIOD_KEYS).filter(F.col("entry_events") > 0)
+        return newest.select(
+            *pay.PERIOD_KEYS, F.col("entry_hours").alias("total_hours_worked"), F.col("entry_events").alias("event_count"),
+            "pay_period_start", "pay_period_end",
+        )
 
     def gross_table(self) -> DataFrame:
         return self.gross.table(self.spark, GROSS, pay.PERIOD_KEYS).drop(BATCH)
 
 
+def _of_kind(settings: DataFrame, kind: str, schema: T.StructType) -> DataFrame:
+    return settings.filter(F.col("kind") == kind).select(*schema.fieldNames())
+
+
 class NetPayStream:
     """Net pay from the log: recomputed where gross pay changed, and in the current period where settings changed.
 
@@ -106,9 +102,7 @@ class NetPayStream:
         self.spark = spark
         self.current_period = current_period
         self.pay = PayStream(spark, folder)
-        self.tax = Snapshot(f"{folder}/tax", TAX)
-        self.deductions = Snapshot(f"{folder}/deductions", DEDUCTIONS)
-        self.gone = Snapshot(f"{folder}/deactivated", GONE)
+        self.settings = Snapshot(f"{folder}/settings", SETTINGS)
         self.net = BatchStore(f"{folder}/net_pay")
 
     def process(self, raw: DataFrame, batch_id: int) -> None:
@@ -122,23 +116,28 @@ class NetPayStream:
         spark = self.spark
         self.pay.process_events(events, batch_id)
         new_tax, new_deductions = extract.tax_events(events), extract.deduction_events(events)
-        tax = self.tax.before(spark, batch_id).unionByName(new_tax)
-        deductions = self.deductions.before(spark, batch_id).unionByName(new_deductions.drop("event_type"))
+        before = self.settings.before(spark, batch_id)
+        tax = _of_kind(before, "tax", TAX).unionByName(new_tax)
+        deductions = _of_kind(before, "deduction", DEDUCTIONS).unionByName(new_deductions.drop("event_type"))
         newly_gone = people.deactivated_employees(events)
-        self.tax.write(latest_rows(tax, ["employee_id"]), batch_id)
-        self.deductions.write(people.deduction_state(deductions, with_offset=True), batch_id)
-        self.gone.write(self.gone.before(spark, batch_id).union(newly_gone).distinct(), batch_id)
+        kinds = {
+            "tax": latest_rows(tax, ["employee_id"]), "deduction": people.deduction_state(deductions, with_offset=True),
+            "gone": _of_kind(before, "gone", GONE).union(newly_gone).distinct(),
+        }
+        self.settings.write(union_all([rows.withColumn("kind", F.lit(kind)) for kind, rows in kinds.items()]), batch_id)
 
-        gone = self.gone.after(spark, batch_id)
+        gone = _of_kind(self.settings.after(spark, batch_id), "gone", GONE)
         due = self._due(new_tax, new_deductions, batch_id).persist()
         employees = due.select("employee_id").distinct()
         of_due = lambda rows: join_one_per_key(rows, employees, ["employee_id"], "left_semi")
         live = netpay.net_pay_asof(due, of_due(tax), of_due(deductions), self.current_period, gone)
         rows = live.withColumn("off", F.col("emitted_off")).withColumn(DELETED, F.lit(False)).select(*NET.fieldNames())
 
-        known = self.pay.gross.read(spark, GROSS, batch_id).select(*NET_PAY_KEYS)
         dead = due.select(*NET_PAY_KEYS).join(gone, "employee_id", "left_semi")
-        dead = dead.union(known.join(newly_gone, "employee_id", "left_semi")).distinct().withColumn(DELETED, F.lit(True))
+        if not newly_gone.isEmpty():  # only then does the history of gross pay matter
+            known = self.pay.gross.read(spark, GROSS, batch_id).select(*NET_PAY_KEYS)
+            dead = dead.union(known.join(newly_gone, "employee_id", "left_semi"))
+        dead = dead.distinct().withColumn(DELETED, F.lit(True))
         self.net.write(rows.unionByName(dead, allowMissingColumns=True).select(*NET.fieldNames()), batch_id)
         due.unpersist()
 

@@ -26,7 +26,7 @@ from paywright.operators import extract, netpay, people
 from paywright.sources.event_log import events_of
 from paywright.streaming.jobs import PayStream
 from paywright.streaming.layouts import GROSS, NET, B, D, L, S, struct
-from paywright.streaming.store import BATCH, DELETED, BatchStore
+from paywright.streaming.store import BATCH, DELETED, BatchStore, union_all
 
 TAX_TERMS = struct(
     federal_filing_status=S, state=S, additional_federal_withholding=D, additional_state_withholding=D
@@ -89,14 +89,7 @@ def signals(events: DataFrame, gross: DataFrame) -> DataFrame:
         deductions.select("employee_id", "off", F.struct(*DEDUCTION_TERMS.fieldNames()).alias("deduction")),
         gone.select("employee_id", F.lit(-1).cast("bigint").alias("off"), F.lit(True).alias("gone")),
     ]
-    return _union(parts).select(*SIGNALS.fieldNames())
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part, allowMissingColumns=True)
-    return whole
+    return union_all(parts).select(*SIGNALS.fieldNames())
 
 
 def _processor(current_period: int | None) -> StatefulProcessor:

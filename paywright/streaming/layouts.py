@@ -32,11 +32,15 @@ GROSS = struct(
     employee_id=S, pay_period_number=L, pay_rate=D, pay_type=S, pay_period_hours=D, total_hours_worked=D,
     effective_hourly_rate=D, gross_pay=D, pay_period_start=S, pay_period_end=S, event_count=L, last_off=L,
 )
+#: Gross pay, and the hours of the same period beside it.
+PAY = T.StructType([*GROSS.fields, *struct(entry_hours=D, entry_events=L).fields])
 TAX = struct(
     off=L, employee_id=S, federal_filing_status=S, state=S, additional_federal_withholding=D,
     additional_state_withholding=D,
 )
 DEDUCTIONS = struct(off=L, employee_id=S, deduction_id=S, amount=D, is_percentage=B, is_active=B)
+#: Settings of all kinds in one table: ``kind`` is tax, deduction or gone.
+SETTINGS = T.StructType([T.StructField("kind", S), *TAX.fields, *[f for f in DEDUCTIONS if f.name not in TAX.fieldNames()]])
 GONE = struct(employee_id=S)
 NET = T.StructType(
     [*struct(employee_id=S, pay_period_number=L), *NET_PAY_VALUE.fields, *struct(off=L, **{DELETED: B})]

@@ -12,7 +12,7 @@ from paywright.sources.changelog import table_from_changelog
 from paywright.sources.event_log import events_of, read_events
 from paywright.streaming import jobs
 from paywright.streaming.layouts import GROSS, NET
-from paywright.streaming.store import BatchStore, compact
+from paywright.streaming.store import BatchStore, TieredStore, compact
 
 KEYS = ("employee_id", "pay_period_number")
 
@@ -155,3 +155,19 @@ def test_rebuild_reports_what_it_dropped(spark, log_folder):
     assert jobs.rebuild(log, make, path) == 0
     assert jobs.rebuild(log, make, path) == 5
     shutil.rmtree(path.removeprefix("file:"))
+
+
+def test_tiers_hold_every_batch_in_few_folders(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType())])
+    store = TieredStore(str(tmp_path / "t"), schema, lambda rows: rows.groupBy("k").agg(F.sum("n").alias("n")), fan=3)
+    for batch in [*range(11), 8, 9, 10]:
+        store.write(spark.createDataFrame([(batch % 2, 1), (5, batch)], schema), batch)
+        if batch == 10:
+            assert len(store._blocks(batch)) <= 2 * 3
+            whole = store.merge(store.read(spark, batch))
+            assert rows(whole, "k") == [(0, 6), (1, 5), (5, 55)]
+    assert store._blocks(10) == [(2, 0), (0, 9), (0, 10)]
+    assert store.read(spark, 8).count() == 3 and store.batch(spark, 4).count() == 2
