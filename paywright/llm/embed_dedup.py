@@ -18,7 +18,6 @@ BUILD_BEAM = 48
 BATCH = 512
 #: Rows of a shard at most; a label with more is dealt over several shards, each queried by all rows of the label.
 SHARD_ROWS = 20_000
-QUERY_BLOCK = 20_000
 AUDIT = 256
 RECALL = 0.99
 FIRST_BEAM = 32
@@ -159,20 +158,21 @@ class Graph:
         return self._beam(queries, entry, 0, width)
 
 
-def _near_ones(graph: Graph, exact: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int, cosine: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, nodes with a cosine of at least ``cosine``). A beam that is full of such nodes is widened."""
+def _near_ones(graph: Graph, exact: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int | None, cosine: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, nodes with a cosine of at least ``cosine``). A beam that is full of such nodes is widened.
+
+    Without a beam all rows are compared: for shards on which an audit has shown that the graph does not find enough.
+    """
     loose = np.float32(cosine - 1e-4)
     waiting = np.arange(len(queries))
     n = len(graph.x)
-    # A beam that would look at as many links as there are rows compares all rows instead.
-    most = n // (2 * graph.links) + 1
-    width = beam if beam < most else n
+    width = n if beam is None else min(beam, n)
     while len(waiting):
         full = []
         size = max(8, min(BATCH, (64 << 20) // (n + 1), (16 << 20) // (64 * width)))
         for lo in range(0, len(waiting), size):
             some = waiting[lo : lo + size]
-            nodes, sims = graph.search(queries[some].astype(np.float32), width, start[some]) if width < n else _all(graph, queries[some])
+            nodes, sims = _all(graph, queries[some]) if beam is None else graph.search(queries[some].astype(np.float32), width, start[some])
             crowded = (sims[:, -1] >= loose) & (width < n)
             full.append(some[crowded])
             for i, hit, sim in zip(some[~crowded], nodes[~crowded], sims[~crowded], strict=True):
@@ -180,7 +180,7 @@ def _near_ones(graph: Graph, exact: np.ndarray, queries: np.ndarray, start: np.n
                 # Cosines decide in double precision.
                 yield int(i), near[exact[near] @ queries[i] >= cosine]
         waiting = np.concatenate(full) if full else waiting[:0]
-        width = 4 * width if 4 * width < most else n
+        width = min(4 * width, n)
 
 
 def _all(graph: Graph, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,11 +188,11 @@ def _all(graph: Graph, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.broadcast_to(np.arange(len(graph.x)), sims.shape), sims
 
 
-def _audited(vectors: np.ndarray, cosine: float) -> tuple[Graph, int]:
+def _audited(vectors: np.ndarray, cosine: float) -> tuple[Graph, int | None]:
     """A graph and a beam with which a sample of the shard's rows finds at least ``RECALL`` of its links.
 
     The sample is compared with all rows. While the recall is too low the beam doubles, and from 256 on the graph is
-    built anew with more links; a beam as wide as the shard compares everything.
+    built anew with more links. If even a beam as wide as the shard misses too many, there is none: all rows compare.
     """
     x = vectors.astype(np.float32)
     links, build, beam = LINKS, BUILD_BEAM, FIRST_BEAM
@@ -200,48 +200,73 @@ def _audited(vectors: np.ndarray, cosine: float) -> tuple[Graph, int]:
     sample = np.random.default_rng(11).permutation(len(x))[:AUDIT]
     truth = vectors[sample] @ vectors.T >= cosine
     truth[np.arange(len(sample)), sample] = False
-    while beam < len(x):
+    while True:
         found = sum(int(truth[i, hit].sum()) for i, hit in _near_ones(graph, vectors, vectors[sample], np.full(len(sample), -1), beam, cosine))
         if found >= RECALL * truth.sum():
-            break
+            return graph, beam
+        if beam >= len(x):
+            return graph, None
         beam *= 2
         if beam >= 256 and links == LINKS:
             links, build = 2 * LINKS, 3 * BUILD_BEAM
             graph = Graph(x, links, build)
-    return graph, beam
-
-
-def _shard_links(key, table: pa.Table, cosine: float) -> pa.Table:
-    """Links between a shard's rows and one block of queries: per query its links, and edges that span its neighbours."""
-    role = table["indexed"].to_numpy(zero_copy_only=False)
-    ids = table["id"].to_numpy()
-    weight = table["weight"].to_numpy()
-    flat = table["unit"].combine_chunks()
-    vectors = flat.flatten().to_numpy().reshape(len(ids), -1)
-    base, queries = np.flatnonzero(role), np.flatnonzero(~role)
-    out_id, out_n, out_to = [], [], []
-    if len(base) and len(queries):
-        base = base[np.argsort(ids[base])]
-        exact = vectors[base]
-        graph, beam = _audited(exact, cosine)
-        own = np.searchsorted(ids[base], ids[queries])
-        own = np.where((own < len(base)) & (ids[base][np.minimum(own, len(base) - 1)] == ids[queries]), own, -1)
-        unions = Unions(len(base))
-        near: dict[int, np.ndarray] = {}
-        for i, hit in _near_ones(graph, exact, vectors[queries], own, beam, cosine):
+
+
+class Shard:
+    """A shard's graph, built once, and the sets of its rows that links found so far connect."""
+
+    def __init__(self, ids: np.ndarray, weight: np.ndarray, exact: np.ndarray, cosine: float):
+        order = np.argsort(ids)
+        self.ids, self.weight, self.exact, self.cosine = ids[order], weight[order], exact[order], cosine
+        self.graph, self.beam = _audited(self.exact, cosine)
+        self.unions = Unions(len(ids))
+
+    def links(self, ids: np.ndarray, queries: np.ndarray) -> list[tuple[int, int, int]]:
+        """(id, links, to) of some queries: how many links each has here, and edges that connect what its links do.
+
+        Links between rows of the shard give an edge only where they join two sets; a row from elsewhere gets an edge to
+        each set that it has links to. So a group of copies makes as many edges as it has rows.
+        """
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        own = np.where(self.ids[at] == ids, at, -1)
+        out = []
+        for i, hit in _near_ones(self.graph, self.exact, queries, own, self.beam, self.cosine):
             hit = hit[hit != own[i]]
-            near[i] = hit
+            if not len(hit):
+                continue
+            me, count = int(ids[i]), int(self.weight[hit].sum())
             if own[i] >= 0:
-                for j in hit.tolist():
-                    unions.join(int(own[i]), j)
-        for i, hit in near.items():
-            if len(hit):
-                me = ids[queries[i]]
-                # One edge to each set of neighbours that other rows of the shard connect.
-                roots = {unions.root(j) for j in hit.tolist()} | ({unions.root(int(own[i]))} if own[i] >= 0 else set())
-                for k, r in enumerate(roots):
-                    out_id.append(me), out_n.append(int(weight[base][hit].sum()) if k == 0 else 0), out_to.append(int(ids[base][r]))
-    return pa.table({"id": pa.array(out_id, pa.int64()), "n": pa.array(out_n, pa.int64()), "to": pa.array(out_to, pa.int64())})
+                to = [j for j in hit.tolist() if self.unions.join(int(own[i]), j)]
+            else:
+                to = list({self.unions.root(j): j for j in hit.tolist()}.values())
+            out.append((me, count, int(self.ids[to[0]]) if to else me))
+            out += [(me, 0, int(self.ids[j])) for j in to[1:]]
+        return out
+
+
+def _shard_links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
+    """Links of each shard's queries. Rows come by shard (key), those of the index before the queries that stream past it."""
+    key, held, shard = None, [], None
+    for batch in batches:
+        keys, asks, ids, weight = batch.column(0).to_pylist(), *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+        units = batch.column(4)
+        cuts = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1] or asks[k] != asks[k - 1]]
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if a == b:
+                continue
+            if keys[a] != key:
+                key, held, shard = keys[a], [], None
+            part = (ids[a:b], weight[a:b], units.slice(a, b - a).flatten().to_numpy().reshape(b - a, -1))
+            if not asks[a]:
+                held.append(part)
+                continue
+            if shard is None:
+                shard = Shard(*[np.concatenate(x) for x in zip(*held, strict=True)], cosine)
+                held = []
+            out += shard.links(part[0], part[2])
+        columns = zip(*out, strict=True) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "n", "to"])
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -252,8 +277,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     do rows without an id. component_id is the smallest vec_id reachable (without an id: null).
 
     Equal vectors of a label are one row that counts as many. Each label is dealt over shards by hash; each shard's graph
-    is queried by all rows of the label in blocks, with beams that an audit against brute force has widened. A block
-    only keeps how many links a row has and edges that span them, so large groups are not expanded.
+    is built once, and all rows of the label stream past it, with beams that an audit against brute force has widened. Of
+    a row's links only their number and edges that connect what they connect are kept, so large groups are not expanded.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -268,14 +293,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     width = F.size("unit").alias("width")
     counts = distinct.groupBy("label", width).agg(F.count(F.lit(1)).alias("rows"))
     dealt = distinct.withColumn("width", F.size("unit")).join(counts, ["label", "width"])
-    shards, blocks = F.ceil(F.col("rows") / SHARD_ROWS), F.ceil(F.col("rows") / QUERY_BLOCK)
-    h = F.xxhash64("id")
-    indexed = dealt.select("label", "width", F.pmod(h, shards).alias("shard"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("block"), "id", "weight", "unit", F.lit(True).alias("indexed"))
-    asked = dealt.select("label", "width", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)).alias("shard"), F.pmod(F.shiftright(h, 17), blocks).cast("int").alias("block"), "id", "weight", "unit", F.lit(False).alias("indexed"))
-    found = (
-        indexed.unionByName(asked).groupBy("label", "width", "shard", "block")
-        .applyInArrow(lambda key, t: _shard_links(key, t, cosine), "id long, n long, to long")
-    )
+    shards = F.ceil(F.col("rows") / SHARD_ROWS)
+    named = lambda shard: F.concat_ws(":", F.col("label").cast("string"), "width", shard).alias("key")
+    indexed = dealt.select(named(F.pmod(F.xxhash64("id"), shards)), F.lit(False).alias("asks"), "id", "weight", "unit")
+    each = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)))
+    asked = each.select(named(F.col("shard")), F.lit(True).alias("asks"), "id", "weight", "unit")
+    met = indexed.unionByName(asked).repartition("key").sortWithinPartitions("key", "asks")
+    found = met.mapInArrow(lambda b: _shard_links(b, cosine), "id long, n long, to long")
     found = materialize(found, "vector-links")
     linked = found.groupBy("id").agg(F.sum("n").alias("n"))
     named = components(found.select(F.col("id").alias("u"), F.col("to").alias("v")))

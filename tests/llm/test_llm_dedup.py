@@ -141,10 +141,9 @@ def test_trie_agrees_with_pairs():
     assert ngram_join.connected(sets) == [unions.root(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("shard, block", [(20_000, 20_000), (40, 30)])
-def test_embeddings_link(spark, monkeypatch, shard, block):
+@pytest.mark.parametrize("shard", [20_000, 40])
+def test_embeddings_link(spark, monkeypatch, shard):
     monkeypatch.setattr(embed_dedup, "SHARD_ROWS", shard)
-    monkeypatch.setattr(embed_dedup, "QUERY_BLOCK", block)
     rng = np.random.default_rng(2)
     rows = []
     for i in range(250):
@@ -189,6 +188,49 @@ def test_graph_recall():
     assert found >= 0.98 * truth.sum()
 
 
+def test_small_shards_search_their_graph(monkeypatch):
+    """All rows compare only where an audit has failed, at any size."""
+    def never(*_):
+        raise AssertionError("compared all rows")
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 20, 60, 200, 1000):
+        x = rng.normal(size=(n, 24))
+        x[n // 2 :] = x[: n - n // 2] + rng.normal(size=(n - n // 2, 24)) * 0.08
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        with monkeypatch.context() as patched:
+            patched.setattr(embed_dedup, "_all", never)
+            shard = embed_dedup.Shard(np.arange(n) * 3, np.ones(n, int), x, 0.98)
+            got = {i: c for i, c, _ in shard.links(np.arange(n) * 3, x)[::-1] if c}
+        want = (x @ x.T >= 0.98).sum(1) - 1
+        assert got == {3 * i: int(c) for i, c in enumerate(want) if c}
+
+
+def test_a_failed_audit_compares_all_rows(monkeypatch):
+    monkeypatch.setattr(embed_dedup.Graph, "search", lambda self, q, width, start=None: (np.full((len(q), width), -1), np.full((len(q), width), -3.0)))
+    x = np.repeat(np.eye(4), 10, 0) + np.random.default_rng(1).normal(size=(40, 4)) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    graph, beam = embed_dedup._audited(x, 0.98)
+    assert beam is None
+    assert sum(len(hit) for _, hit in embed_dedup._near_ones(graph, x, x, np.full(40, -1), beam, 0.98)) == (x @ x.T >= 0.98).sum()
+
+
+def test_recall_over_two_shards(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 16))
+    x[10_000:] = x[:10_000] + rng.normal(size=(10_000, 16)) * rng.choice([0.03, 0.06, 0.09], size=(10_000, 1))
+    halves = [np.flatnonzero(rng.random(20_000) < 0.5)]
+    halves.append(np.setdiff1d(np.arange(20_000), halves[0]))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    found = want = 0
+    for half in halves:
+        shard = embed_dedup.Shard(half, np.ones(len(half), int), x[half], 0.98)
+        got = {i: c for i, c, _ in shard.links(np.arange(20_000), x)[::-1] if c}
+        found += sum(got.values())
+        want += sum(int((x[lo : lo + 1000] @ x[half].T >= 0.98).sum()) for lo in range(0, 20_000, 1000)) - len(half)
+    assert found >= 0.95 * want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = dict(map(tuple, common.components(spark.createDataFrame(chain, "u long, v long")).collect()))
