@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from functools import reduce
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,23 @@ def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function over batches, giving the memory of its arrays back when a task ends.
+
+    Workers live on for other tasks; what a heavy one has freed would else stay theirs, beside the next one's needs.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def fold(modulus: int, held: int, key: str = "doc_id") -> Column:
     """True for the held-out rows. A missing id is in no fold, so it is not held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % modulus == held, F.lit(False))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paywright.llm.common import arrow_batches, dropping_shuffles, union_all
+from paywright.llm.common import arrow_batches, dropping_shuffles, tidy, union_all
 from paywright.session import materialize
 
 MIN_BYTES = 100
@@ -441,7 +441,7 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     spark = docs.sparkSession
     arrow_batches(spark, rows=2000, max_bytes=4 << 20)
     keyed = _keyed(docs)
-    found = materialize(keyed.where(F.octet_length("body") >= length).mapInArrow(lambda b: _find_runs(b, length), RUNS), "runs")
+    found = materialize(keyed.where(F.octet_length("body") >= length).mapInArrow(tidy(lambda b: _find_runs(b, length)), RUNS), "runs")
     runs = found.where(F.col("h").isNotNull())
     inside = found.where(F.col("h").isNull()).select("did", "tag", "a", "b")
     shared = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
@@ -461,12 +461,12 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         .agg(F.collect_list(F.struct("h", "a", "b", "p", (F.col("n") <= TOGETHER).alias("together"))).alias("runs"))
     )
     bodies = materialize(
-        keyed.join(lists, ["did", "tag"]).select("did", "tag", "body", "runs").mapInArrow(lambda b: _bodies(b, length), BODIES),
+        keyed.join(lists, ["did", "tag"]).select("did", "tag", "body", "runs").mapInArrow(tidy(lambda b: _bodies(b, length)), BODIES),
         "contexts",
     )
     sorted_ = (
         bodies.where(F.col("part").isNotNull()).select("h", "did", "tag", "a", "part").repartition("h").sortWithinPartitions("h", "did", "a")
-        .mapInArrow(lambda b: _sort_groups(b, length), SPANS)
+        .mapInArrow(tidy(lambda b: _sort_groups(b, length)), SPANS)
     )
     # Inside a hot passage most rows hold the same strings: of those only the earliest one is taken apart.
     packed = _order_of(bodies.where(F.col("part").isNull()).select("core", "did", "tag", "a", "strings", F.md5("strings").alias("same")))
@@ -475,7 +475,7 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     copies = packed.where(~F.col("is_first")).select("did", "tag", "a", (F.col("a") + F.octet_length("strings") / 16 - 1 + length).cast("int").alias("b"))
     packed = packed.where("is_first")
     cores = packed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    strings = packed.join(cores, "core").select("did", "tag", "a", "strings").mapInArrow(_strings, "did long, tag int, a int, one long, two long")
+    strings = packed.join(cores, "core").select("did", "tag", "a", "strings").mapInArrow(tidy(_strings), "did long, tag int, a int, one long, two long")
     strings = _order_of(materialize(strings, "shared-strings"))
     earliest = strings.groupBy("one", "two").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
     grouped = strings.join(earliest, ["one", "two"]).where("place > first").select("did", "tag", "a", (F.col("a") + length).alias("b"))
@@ -518,7 +518,7 @@ def dedup_digests(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
@@ -542,4 +542,4 @@ def dedup_texts(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
             kept = [pa.array(left, pa.string()) if c == "text" else batch.column(2 + i) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays(kept, columns)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)
