@@ -49,17 +49,14 @@ def kinds_of(*entities: str) -> list[str]:
     return [kind for kind, entity in ENTITY_OF.items() if entity in entities]
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """One exchange of the plain rows before JSON is built, at every size.
+def spread(rows: DataFrame, key: str = "event_id") -> DataFrame:
+    """Rows of a table that lies in fewer files than there are cores, dealt to all of them before JSON is built.
 
-    The branches of a query share it, so the table is scanned once however many of them there are, and every core gets
-    rows to build and parse even where the table is a single file split.
+    The branches of a query share that exchange, so a small table is scanned once however many they are. A table of many
+    files is read as it lies: its columns are cheaper to scan once per branch than to shuffle whole.
     """
-    return spread_by(rows, "event_id")
-
-
-def spread_by(rows: DataFrame, key: str) -> DataFrame:
-    return rows.repartition(key)
+    few = len(rows.inputFiles()) < rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(key) if few else rows
 
 
 def event_rows(spark: SparkSession, sf_dir: str, *entities: str) -> DataFrame:
@@ -274,4 +271,4 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"'PayPeriodHours', 40, 'IsActive', o_custkey % 10 <> 3, 'UpdatedAt', {_iso('day')}, 'DomainEvents', {domain.format(kind='employee.updated')})"
     )
     both = f"array(named_struct('off', o_orderkey * 2, 'value', {said.format(data=shift)}), named_struct('off', o_orderkey * 2 + 1, 'value', {said.format(data=rate)}))"
-    return spread_by(rows, "o_orderkey").selectExpr(f"explode({both}) AS x").select("x.*")
+    return spread(rows, "o_orderkey").selectExpr(f"explode({both}) AS x").select("x.*")
