@@ -81,9 +81,13 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
+def query_words(query: str) -> list[str]:
+    return re.findall(_QUERY_WORD, query.lower())
+
+
 def phrase_prefix(text: Column, query: str) -> Column:
     """Whether the query's words occur in a row, the last one possibly cut short."""
-    asked = re.findall(_QUERY_WORD, query.lower())
+    asked = query_words(query)
     if not asked:
         return F.lit(False)
     # One space before each word, so that a phrase is found from the start of a word on.

@@ -8,7 +8,6 @@ The index only proposes: every candidate is confirmed by the same predicate that
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -99,7 +98,7 @@ class SearchIndex:
         None if the query has no words. Every word gives rows (doc, field, place where the phrase would begin); a phrase
         stands where all of its words agree. They are counted in one aggregation, which combines on the map side.
         """
-        asked = re.findall(filters._QUERY_WORD, query.lower())
+        asked = filters.query_words(query)
         if not asked:
             return None
         words = self._table(spark, "words")
