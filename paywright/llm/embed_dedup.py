@@ -21,6 +21,8 @@ SHARD_ROWS = 20_000
 AUDIT = 256
 RECALL = 0.99
 FIRST_BEAM = 32
+#: How much farther than a link nodes may be that a full beam grows over.
+MARGIN = 0.05
 
 
 class Graph:
@@ -42,6 +44,25 @@ class Graph:
             batch = self.order[done : done + min(BATCH, max(32, done))]
             self._insert(batch, level[batch], beam)
             done += len(batch)
+        self._adopt()
+
+    def _adopt(self) -> None:
+        """Two more links a node, by which each node is reached from its nearest neighbour even where that one's list, cut to
+        diverse ones, has not kept it: to the nearest of such nodes, and from one of them to the next."""
+        near = self.near[0]
+        left = np.flatnonzero(near[:, 0] >= 0)
+        host = near[left, 0]
+        lost = ~(near[host] == left[:, None]).any(1)
+        left, host = left[lost], host[lost]
+        order = np.lexsort((-np.einsum("nd,nd->n", self.x[left], self.x[host]), host))
+        left, host = left[order], host[order]
+        again = np.flatnonzero(np.diff(host, prepend=-1) == 0)
+        first = np.setdiff1d(np.arange(len(left)), again)
+        more = np.full((len(self.x), 2), -1, np.int64)
+        more[host[first], 0] = left[first]
+        more[left[again - 1], 1] = left[again]
+        more[(near == more[:, 1:]).any(1), 1] = -1  # a list names no node twice
+        self.near[0] = np.concatenate([near, more], 1)
 
     def _insert(self, batch: np.ndarray, level: np.ndarray, beam: int) -> None:
         entry = np.full((len(batch), 1), self.entry)
@@ -157,30 +178,40 @@ class Graph:
             entry = np.concatenate([entry, start[:, None]], 1)
         return self._beam(queries, entry, 0, width)
 
+    def grown(self, query: np.ndarray, nodes: np.ndarray, least: float) -> np.ndarray:
+        """All nodes about as near as ``least`` that links lead to from ``nodes`` over nodes hardly farther than that."""
+        seen = np.zeros(len(self.x) + 1, bool)
+        seen[nodes] = seen[-1] = True
+        found = [nodes]
+        edge = nodes
+        while len(edge):
+            step = np.unique(self.near[0][edge])
+            step = step[~seen[step]]
+            seen[step] = True
+            sims = self.x[step] @ query
+            found.append(step[sims >= least])
+            edge = step[sims >= least - MARGIN]
+        return np.concatenate(found)
+
 
 def _near_ones(graph: Graph, exact: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int | None, cosine: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, nodes with a cosine of at least ``cosine``). A beam that is full of such nodes is widened.
+    """(query, nodes with a cosine of at least ``cosine``). A beam that is full of such nodes grows along them.
 
     Without a beam all rows are compared: for shards on which an audit has shown that the graph does not find enough.
     """
     loose = np.float32(cosine - 1e-4)
-    waiting = np.arange(len(queries))
     n = len(graph.x)
     width = n if beam is None else min(beam, n)
-    while len(waiting):
-        full = []
-        size = max(8, min(BATCH, (64 << 20) // (n + 1), (16 << 20) // (64 * width)))
-        for lo in range(0, len(waiting), size):
-            some = waiting[lo : lo + size]
-            nodes, sims = _all(graph, queries[some]) if beam is None else graph.search(queries[some].astype(np.float32), width, start[some])
-            crowded = (sims[:, -1] >= loose) & (width < n)
-            full.append(some[crowded])
-            for i, hit, sim in zip(some[~crowded], nodes[~crowded], sims[~crowded], strict=True):
-                near = hit[sim >= loose]
-                # Cosines decide in double precision.
-                yield int(i), near[exact[near] @ queries[i] >= cosine]
-        waiting = np.concatenate(full) if full else waiting[:0]
-        width = min(4 * width, n)
+    size = max(8, min(BATCH, (64 << 20) // (n + 1), (16 << 20) // (64 * width)))
+    for lo in range(0, len(queries), size):
+        some = queries[lo : lo + size].astype(np.float32)
+        nodes, sims = _all(graph, some) if beam is None else graph.search(some, width, start[lo : lo + size])
+        for i in range(len(some)):
+            near = nodes[i][sims[i] >= loose]
+            if len(near) == width < n:
+                near = graph.grown(some[i], near, loose)
+            # Cosines decide in double precision.
+            yield lo + i, near[exact[near] @ queries[lo + i] >= cosine]
 
 
 def _all(graph: Graph, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,10 +219,11 @@ def _all(graph: Graph, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.broadcast_to(np.arange(len(graph.x)), sims.shape), sims
 
 
-def _audited(vectors: np.ndarray, cosine: float) -> tuple[Graph, int | None]:
+def _audited(vectors: np.ndarray, cosine: float, alone: bool = False) -> tuple[Graph, int | None]:
     """A graph and a beam with which a sample of the shard's rows finds at least ``RECALL`` of its links.
 
-    The sample is compared with all rows. While the recall is too low the beam doubles, and from 256 on the graph is
+    The sample searches as queries do: where the shard is ``alone``, that is, asked by its own rows only, from its own
+    place in the graph, else from the top. It is compared with all rows. While the recall is too low the beam doubles, and from 256 on the graph is
     built anew with more links. If even a beam as wide as the shard misses too many, there is none: all rows compare.
     """
     x = vectors.astype(np.float32)
@@ -200,8 +232,9 @@ def _audited(vectors: np.ndarray, cosine: float) -> tuple[Graph, int | None]:
     sample = np.random.default_rng(11).permutation(len(x))[:AUDIT]
     truth = vectors[sample] @ vectors.T >= cosine
     truth[np.arange(len(sample)), sample] = False
+    start = sample if alone else np.full(len(sample), -1)
     while True:
-        found = sum(int(truth[i, hit].sum()) for i, hit in _near_ones(graph, vectors, vectors[sample], np.full(len(sample), -1), beam, cosine))
+        found = sum(int(truth[i, hit].sum()) for i, hit in _near_ones(graph, vectors, vectors[sample], start, beam, cosine))
         if found >= RECALL * truth.sum():
             return graph, beam
         if beam >= len(x):
@@ -215,10 +248,10 @@ def _audited(vectors: np.ndarray, cosine: float) -> tuple[Graph, int | None]:
 class Shard:
     """A shard's graph, built once, and the sets of its rows that links found so far connect."""
 
-    def __init__(self, ids: np.ndarray, weight: np.ndarray, exact: np.ndarray, cosine: float):
+    def __init__(self, ids: np.ndarray, weight: np.ndarray, exact: np.ndarray, cosine: float, alone: bool = False):
         order = np.argsort(ids)
         self.ids, self.weight, self.exact, self.cosine = ids[order], weight[order], exact[order], cosine
-        self.graph, self.beam = _audited(self.exact, cosine)
+        self.graph, self.beam = _audited(self.exact, cosine, alone)
         self.unions = Unions(len(ids))
 
     def links(self, ids: np.ndarray, queries: np.ndarray) -> list[tuple[int, int, int]]:
@@ -245,7 +278,8 @@ class Shard:
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[pa.RecordBatch]:
-    """Links of each shard's queries. Rows come by shard (key), those of the index before the queries that stream past it."""
+    """Links of each shard's queries. Rows come by shard (key, which ends in the number of the label's shards), those of the
+    index before the queries that stream past it."""
     key, held, shard = None, [], None
     for batch in batches:
         keys, asks, ids, weight = batch.column(0).to_pylist(), *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
@@ -262,7 +296,7 @@ def _shard_links(batches: Iterator[pa.RecordBatch], cosine: float) -> Iterator[p
                 held.append(part)
                 continue
             if shard is None:
-                shard = Shard(*[np.concatenate(x) for x in zip(*held, strict=True)], cosine)
+                shard = Shard(*[np.concatenate(x) for x in zip(*held, strict=True)], cosine, key.endswith(":1"))
                 held = []
             out += shard.links(part[0], part[2])
         columns = zip(*out, strict=True) if out else [()] * 3
@@ -294,7 +328,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     counts = distinct.groupBy("label", width).agg(F.count(F.lit(1)).alias("rows"))
     dealt = distinct.withColumn("width", F.size("unit")).join(counts, ["label", "width"])
     shards = F.ceil(F.col("rows") / SHARD_ROWS)
-    named = lambda shard: F.concat_ws(":", F.col("label").cast("string"), "width", shard).alias("key")
+    named = lambda shard: F.concat_ws(":", F.col("label").cast("string"), "width", shard, shards).alias("key")
     indexed = dealt.select(named(F.pmod(F.xxhash64("id"), shards)), F.lit(False).alias("asks"), "id", "weight", "unit")
     each = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)))
     asked = each.select(named(F.col("shard")), F.lit(True).alias("asks"), "id", "weight", "unit")

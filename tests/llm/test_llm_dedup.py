@@ -188,7 +188,8 @@ def test_graph_recall():
     assert found >= 0.98 * truth.sum()
 
 
-def test_small_shards_search_their_graph(monkeypatch):
+@pytest.mark.parametrize("alone", [False, True])
+def test_small_shards_search_their_graph(monkeypatch, alone):
     """All rows compare only where an audit has failed, at any size."""
     def never(*_):
         raise AssertionError("compared all rows")
@@ -200,7 +201,7 @@ def test_small_shards_search_their_graph(monkeypatch):
         x /= np.linalg.norm(x, axis=1)[:, None]
         with monkeypatch.context() as patched:
             patched.setattr(embed_dedup, "_all", never)
-            shard = embed_dedup.Shard(np.arange(n) * 3, np.ones(n, int), x, 0.98)
+            shard = embed_dedup.Shard(np.arange(n) * 3, np.ones(n, int), x, 0.98, alone)
             got = {i: c for i, c, _ in shard.links(np.arange(n) * 3, x)[::-1] if c}
         want = (x @ x.T >= 0.98).sum(1) - 1
         assert got == {3 * i: int(c) for i, c in enumerate(want) if c}
