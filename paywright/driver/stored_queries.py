@@ -262,7 +262,9 @@ def landed_identity_forms(spark, sf):
     log = tables.direct_events(spark, sf).select("off", F.to_json(F.struct("data")).alias("value"))
     event_log.land(log, path)
     stored = spark.read.schema(event_log.LANDED).parquet(path)
-    found = event_log.resolve_identity(stored.drop("topic")).join(stored.select("off", "topic"), "off")
+    # Both sides have a row per record, but with payloads pruned away a landed log is estimated far too small: no broadcast.
+    topics = stored.select("off", "topic").hint("merge")
+    found = event_log.resolve_identity(stored.drop("topic")).join(topics, "off")
     return found.select("off", "employee_id", "event_id", "event_type", F.unix_micros("occurred_on").alias("occurred_us"), "topic")
 
 

@@ -277,3 +277,17 @@ def test_notices_wait_for_either_side(spark, tmp_path):
         notices = pay_notices(left, right, "4 DAYS", "2 DAYS", salts=2)
         jobs.run(notices, lambda batch, i: out.extend(r["off"] for r in batch.collect()), str(tmp_path / "c")).awaitTermination()
     assert sorted(out) == [1, 2, 4, 5]
+
+
+def test_landed_identity_joins_without_broadcast(spark, tmp_path):
+    from paywright.driver import stored_queries
+
+    made = spark.range(40).selectExpr(
+        "id AS event_id", "TIMESTAMP_NTZ '2024-01-02 03:04:05' AS ts", "id % 4 AS user_id",
+        "element_at(array('click', 'view', 'signup', 'purchase', 'error'), CAST(id % 5 + 1 AS INT)) AS event_type",
+        "1.5D AS value", "concat('{\"k\": ', id, '}') AS props",
+    )
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    found = stored_queries.landed_identity_forms(spark, str(tmp_path))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 40
