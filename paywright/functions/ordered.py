@@ -79,7 +79,7 @@ def with_running(
             for name, spec in running.items()
         }
     )
-    return local.join(carries, [*keys, _BLOCK], "left").select(
+    return local.join(carries.hint("merge"), [*keys, _BLOCK], "left").select(  # one row per key and block: too many to broadcast
         *df.columns,
         *[
             spec.combine(F.col(f"_carry_{name}"), F.col(f"_local_{name}")).alias(name)

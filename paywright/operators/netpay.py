@@ -87,7 +87,7 @@ def net_pay_asof(
     ``emitted_off`` is the offset of the event that caused the row as it stands: its own last event, or a later setting
     change if that recomputed it. A consumer that lets the later emitted row win orders by it.
     """
-    live = gross if deactivated is None else gross.join(deactivated, "employee_id", "left_anti")
+    live = gross if deactivated is None else gross.join(deactivated.hint("merge"), "employee_id", "left_anti")
     seen_at = F.col("last_off")
     if current_period is not None:
         seen_at = F.when(F.col("pay_period_number") == current_period, F.lit(_FOREVER)).otherwise(seen_at)

@@ -42,7 +42,7 @@ def search_documents(info: DataFrame, net_pay: DataFrame, include_inactive: bool
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
     number = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
     none = F.array().cast(T.ArrayType(PAY_PERIOD_RECORD))
-    return people.join(pay_period_arrays(net_pay), "employee_id", "left").select(
+    return people.join(pay_period_arrays(net_pay).hint("merge"), "employee_id", "left").select(
         "employee_id", text("first_name"), text("last_name"), text("email"), text("pay_type"), number("pay_rate"),
         number("pay_period_hours"), active.alias("is_active"), text("hire_date"),
         F.coalesce("pay_periods", none).alias("pay_periods"),

@@ -5,6 +5,9 @@ the map side, so a hot employee is cheap), then only the keys it touched are rec
 per batch, which merge in any order; settings and records as snapshots of one row per key. There is no watermark: late
 events always count.
 
+State is read back from Parquet, which Spark estimates by its compressed size. Joins with what grows with the employees
+therefore ask for a merge, so that no table of theirs is broadcast through the driver.
+
 A per-employee state machine (``transformWithState`` keyed by employee) would send every row of a hot employee through
 one task, so it is not used.
 """
@@ -133,10 +136,10 @@ class NetPayStream:
         live = netpay.net_pay_asof(due, of_due(tax), of_due(deductions), self.current_period, gone)
         rows = live.withColumn("off", F.col("emitted_off")).withColumn(DELETED, F.lit(False)).select(*NET.fieldNames())
 
-        dead = due.select(*NET_PAY_KEYS).join(gone, "employee_id", "left_semi")
+        dead = due.select(*NET_PAY_KEYS).join(gone.hint("merge"), "employee_id", "left_semi")
         if not newly_gone.isEmpty():  # only then does the history of gross pay matter
             known = self.pay.gross.read(spark, GROSS, batch_id).select(*NET_PAY_KEYS)
-            dead = dead.union(known.join(newly_gone, "employee_id", "left_semi"))
+            dead = dead.union(known.join(newly_gone.hint("merge"), "employee_id", "left_semi"))
         dead = dead.distinct().withColumn(DELETED, F.lit(True))
         self.net.write(rows.unionByName(dead, allowMissingColumns=True).select(*NET.fieldNames()), batch_id)
         due.unpersist()
@@ -150,7 +153,7 @@ class NetPayStream:
             changed = new_tax.select("employee_id").union(new_deductions.select("employee_id")).distinct()
             current = gross.filter(F.col("pay_period_number") == self.current_period)
             same = latest_rows(current, pay.PERIOD_KEYS, BATCH).filter(~here)
-            due = due.unionByName(same.join(changed, "employee_id", "left_semi"))
+            due = due.unionByName(same.join(changed.hint("merge"), "employee_id", "left_semi"))
         return due.drop(BATCH)
 
     def net_pay_table(self) -> DataFrame:
@@ -197,7 +200,7 @@ class SearchStream:
         newest = latest_rows(old_pay.unionByName(new_pay), NET_PAY_KEYS, BATCH).filter(~F.col(DELETED))
         self.periods.write(last_pay_periods(newest), batch_id)
 
-        touched = with_new_fields.union(new_pay.select("employee_id")).distinct()
+        touched = with_new_fields.union(new_pay.select("employee_id")).distinct().hint("merge")
         info = people.info_from_partials(self.info.after(spark, batch_id).join(touched, "employee_id", "left_semi"))
         periods = self.periods.after(spark, batch_id).join(touched, "employee_id", "left_semi")
         built = search_documents(info, periods, include_inactive=True).withColumn(DELETED, ~F.col("is_active"))
@@ -231,7 +234,7 @@ class ProjectionStream:
             new = projection.record_partials(accepted)
             self.state.write(projection.merge_record_partials(before.unionByName(new)), batch_id)
             merged = self.state.after(self.spark, batch_id)
-            self.records.write(merged.join(new.select("employee_id"), "employee_id", "left_semi"), batch_id)
+            self.records.write(merged.join(new.select("employee_id").hint("merge"), "employee_id", "left_semi"), batch_id)
             self.feed.write(projection.change_feed(accepted), batch_id)
         finally:
             accepted.unpersist()

@@ -223,3 +223,10 @@ def test_salted_join_is_a_plain_join(spark, how):
     for salts in (1, 7):
         got = join_one_per_key(df, one, ["k"], how, salts=salts)
         assert rows(got, "off") == rows(df.join(one, ["k"], how), "off")
+
+
+def test_salted_join_broadcasts_nothing(spark):
+    from paywright.functions.skew import join_one_per_key
+
+    got = join_one_per_key(spark.range(9).selectExpr("id AS off", "id AS k"), spark.range(3).selectExpr("id AS k"), ["k"])
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

@@ -171,3 +171,31 @@ def test_tiers_hold_every_batch_in_few_folders(spark, tmp_path):
             assert rows(whole, "k") == [(0, 6), (1, 5), (5, 55)]
     assert store._blocks(10) == [(2, 0), (0, 9), (0, 10)]
     assert store.read(spark, 8).count() == 3 and store.batch(spark, 4).count() == 2
+
+
+@pytest.fixture
+def plans(monkeypatch):
+    """Plans of what the stores write, by path."""
+    from paywright.streaming.store import Snapshot
+
+    found = []
+    for kind in (BatchStore, Snapshot):
+        def write(self, rows, batch_id, inner=kind.write):
+            found.append((self.path, rows._jdf.queryExecution().executedPlan().toString()))
+            inner(self, rows, batch_id)
+
+        monkeypatch.setattr(kind, "write", write)
+    return found
+
+
+def test_streams_broadcast_no_table_of_employees(spark, make_log, plans):
+    search = jobs.SearchStream(spark, scratch_dir(spark, "search"), current_period=PERIOD)
+    model = jobs.ProjectionStream(spark, scratch_dir(spark, "model"))
+    log = make_log(_log())
+    for batch_id in range(2):
+        part = log.filter(f"off % 2 = {batch_id}")
+        search.process(part, batch_id)
+        model.process(part, batch_id)
+        model.process_pay(search.net.net.read(spark, NET).filter(f"batch_id = {batch_id}").drop("batch_id"), batch_id)
+    joins = [(path, line) for path, plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert len(plans) > 10 and not [x for x in joins if "employee_id" in x[1]]
