@@ -79,7 +79,8 @@ def stream_replay(spark, sf):
     job = jobs.PayStream(spark, scratch_dir(spark, "replay"))
     entities = ("timeentry", "employee")
     _run(spark, sf, job, *entities)
-    job.process(tables.to_log(_part(spark, sf, PARTS - 1, _end(spark, sf), *entities), *entities), PARTS - 1)
+    last = tables.spread(_part(spark, sf, PARTS - 1, _end(spark, sf), *entities))
+    job.process(tables.to_log(last, *entities), PARTS - 1)
     return job.gross_table().drop("last_off")
 
 

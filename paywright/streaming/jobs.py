@@ -64,19 +64,21 @@ class PayStream:
 
     def process_events(self, events: DataFrame, batch_id: int) -> None:
         self.partials.write(pay.entry_partials(extract.gross_pay_events(events)), batch_id)
-        merged = pay.merge_partials(self._touched_partials(batch_id))
-        self.gross.write(pay.gross_from_partials(merged, with_hours=True).select(*PAY.fieldNames()), batch_id)
+        self.gross.write(self._touched_gross(batch_id).select(*PAY.fieldNames()), batch_id)
 
-    def _touched_partials(self, batch_id: int) -> DataFrame:
-        """Partials of all batches for the (employee, period) pairs of this one.
+    def _touched_gross(self, batch_id: int) -> DataFrame:
+        """Gross pay, out of the partials of all batches, for the (employee, period) pairs of this one.
 
         Partials are partitioned by period, and a batch usually touches the current one or two: the touched numbers prune
         the partitions. A timestamp lies in one of 261,000 periods (years 1 to 9999), so they are at most 2 MB to broadcast.
+        The pairs are compared with the sums, which lie by pair already, rather than with the partials: those move once,
+        by entry, to be merged, and never by employee.
         """
         touched = self.partials.batch(self.spark, batch_id).select(*pay.PERIOD_KEYS).distinct()
         numbers = F.broadcast(touched.select("pay_period_number").distinct())
         pruned = self.partials.read(self.spark, batch_id).join(numbers, "pay_period_number", "left_semi")
-        return join_one_per_key(pruned, touched, pay.PERIOD_KEYS, "left_semi", spread="time_entry_id")
+        gross = pay.gross_from_partials(pay.merge_partials(pruned), with_hours=True)
+        return gross.join(touched.hint("merge"), pay.PERIOD_KEYS, "left_semi")
 
     def hours_table(self) -> DataFrame:
         newest = self.gross.table(self.spark, PAY, pay.PERIOD_KEYS).filter(F.col("entry_events") > 0)

@@ -199,3 +199,10 @@ def test_streams_broadcast_no_table_of_employees(spark, make_log, plans):
         model.process_pay(search.net.net.read(spark, NET).filter(f"batch_id = {batch_id}").drop("batch_id"), batch_id)
     joins = [(path, line) for path, plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert len(plans) > 10 and not [x for x in joins if "employee_id" in x[1]]
+
+
+def test_partials_move_by_entry_only(spark, make_log, plans):
+    job = jobs.PayStream(spark, scratch_dir(spark, "moves"))
+    job.process(make_log(_log()), 0)
+    ((_, plan),) = [x for x in plans if x[0].endswith("/pay")]
+    assert "_salt" not in plan
