@@ -119,24 +119,26 @@ def _processor(current_period: int | None) -> StatefulProcessor:
             tax = self.tax.get() if self.tax.exists() else None
             deductions = {k[0]: tuple(v) for k, v in self.deductions.iterator()}
             emitted: dict[int, dict] = {}
+            new_tax, new_deductions = None, {}  # every write is a call out of the worker, so only what changed is written
             moved = -1
             for r in batch:
                 if r["tax"] is not None:
-                    tax, moved = tuple(r["tax"][c] for c in tax_schema.fieldNames()), r["off"]
+                    tax = new_tax = tuple(r["tax"][c] for c in tax_schema.fieldNames())
+                    moved = r["off"]
                 elif r["deduction"] is not None:
                     name, amount, percent, active = (r["deduction"][c] for c in deduction_schema.fieldNames())
                     old = deductions.get(name, (0.0, False, False))
-                    deductions[name] = (old[0] if amount is None else amount, old[1] if percent is None else percent, active)
+                    now = (old[0] if amount is None else amount, old[1] if percent is None else percent, active)
+                    deductions[name] = new_deductions[name] = now
                     moved = r["off"]
                 elif r["gross"] is not None:
                     row = r["gross"]
                     self.gross.updateValue((row["pay_period_number"],), tuple(row[c] for c in gross_schema.fieldNames()))
                     emitted[row["pay_period_number"]] = {**row, **self._settings(tax, deductions), "emitted_off": row["last_off"]}
-            if moved >= 0:
-                if tax is not None:
-                    self.tax.update(tuple(tax))
-                for name, value in deductions.items():
-                    self.deductions.updateValue((name,), value)
+            if new_tax is not None:
+                self.tax.update(new_tax)
+            for name, value in new_deductions.items():
+                self.deductions.updateValue((name,), value)
             if current_period is not None and (moved >= 0 or current_period in emitted) and self.gross.containsKey((current_period,)):
                 row = dict(zip(gross_schema.fieldNames(), self.gross.getValue((current_period,)), strict=True))
                 emitted[current_period] = {**row, **self._settings(tax, deductions), "emitted_off": max(row["last_off"], moved)}

@@ -206,3 +206,43 @@ def test_partials_move_by_entry_only(spark, make_log, plans):
     job.process(make_log(_log()), 0)
     ((_, plan),) = [x for x in plans if x[0].endswith("/pay")]
     assert "_salt" not in plan
+
+
+def test_state_writes_only_what_changed():
+    from paywright.streaming.keyed import _processor
+
+    class Value(dict):
+        def exists(self):
+            return "v" in self
+
+        def get(self):
+            return self["v"]
+
+        def update(self, v):
+            self["v"] = v
+            written.append(v)
+
+    class Map(dict):
+        iterator, containsKey, getValue = dict.items, dict.__contains__, dict.__getitem__
+
+        def updateValue(self, k, v):
+            self[k] = v
+            written.append((*k, *v))
+
+    class Handle:
+        getValueState, getMapState = (lambda self, *a: Value()), (lambda self, *a: Map())
+
+    def signal(off, **one):
+        return {"off": off, "gross": None, "tax": None, "deduction": None, "gone": None, **one}
+
+    def deduction(name, amount):
+        return {"deduction_id": name, "amount": amount, "is_percentage": False, "is_active": True}
+
+    terms = {"federal_filing_status": "Single", "state": "CA", "additional_federal_withholding": 0.0, "additional_state_withholding": 0.0}
+    written, one = [], _processor(None)
+    one.init(Handle())
+    list(one.handleInputRows(("e",), iter([signal(1, deduction=deduction("a", 1.0)), signal(2, deduction=deduction("b", 2.0)), signal(3, tax=terms)]), None))
+    written.clear()
+    list(one.handleInputRows(("e",), iter([signal(4, deduction=deduction("b", 3.0)), signal(5, deduction=deduction("b", None))]), None))
+    assert written == [("b", 3.0, False, True)]
+    assert one.deductions == {("a",): (1.0, False, True), ("b",): (3.0, False, True)} and one.tax.get()[0] == "Single"
