@@ -253,11 +253,12 @@ def merged(begin: np.ndarray, end: np.ndarray, of: np.ndarray | None = None) ->
 
 #: Bytes of text whose runs are found together; longer texts are taken in overlapping stretches.
 STRETCH = 2 << 20
-#: Contexts of one anchor that are sorted together; the strings of anchors with more are grouped by Spark.
+#: Blocks of one core that are sorted together; the strings of cores with more are grouped by Spark.
 TOGETHER = 64
 HELD_BYTES = 6 << 20
 SORTED_BYTES = 1 << 20
-#: Starts whose strings share one core.
+#: Starts whose strings share one core: of every context at first, and of blocks that are too many to be sorted together.
+BLOCK = 32
 CORE = 8
 NO_ID = (1 << 63) - 1
 
@@ -333,36 +334,56 @@ def _rows(h, ctx, did, tag, a, b, p) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((h, ctx, did, tag, a, b, p), kinds, strict=True)], ["h", "ctx", "did", "tag", "a", "b", "p"])
 
 
-BODIES = "h long, did long, tag int, a int, part binary, core long, strings binary"
+BLOCKS = "core long, did long, tag int, a int, p short, part binary, same binary"
+ROWS = "core long, did long, tag int, a int, strings binary"
 
 
-def _bodies(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Bytes of the runs to be sorted; of the others, the hashes of their strings in rows of up to ``CORE`` starts.
+def _blocks(part: bytes, p: int, size: int, length: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """Starts of a run, whose anchor is at ``p``, in blocks of up to ``size``: first and last start, number, and core.
 
-    Starts are cut at fixed distances from the anchor. The strings of one row share the bytes between its last possible
-    start and its first end, its core; equal strings stand in rows of equal cores.
+    Starts are cut at fixed distances from the anchor. The strings of one block share the bytes between its last
+    possible start and its first end, its core; equal strings stand in blocks of equal numbers and cores.
     """
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary()]
+    k, last = 0, len(part) - length
+    while k <= last:
+        block = (k - p - 1) // size
+        low = p + size * (block + 1)
+        stop = min(last, low)
+        yield k, stop, block, part[low : low + length - size + 1]
+        k = stop + 1
+
+
+def _find_blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Bytes of the runs' blocks of up to ``BLOCK`` starts, with hashes of their cores and of the whole."""
     for batch in batches:
         out: list[tuple] = []
         for d, t, text, runs in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
             for run in runs:
                 h, at, p = run["h"], run["a"], run["p"]
                 part = text[at : run["b"]]
-                if run["together"]:
-                    out.append((h, d, t, at, part, None, None))
-                    continue
-                k, last = 0, len(part) - length
-                while k <= last:
-                    block = (k - p) // CORE
-                    stop = min(last, p + CORE * block + CORE - 1)
-                    low = p + CORE * block + CORE - 1
-                    core = _hash(b"%d %d " % (h, block) + part[low : low + length - CORE + 1], 8)
-                    strings = b"".join([_hash(part[i : i + length], 16) for i in range(k, stop + 1)])
-                    out.append((h, d, t, at + k, None, int.from_bytes(core, "little", signed=True), strings))
-                    k = stop + 1
-        columns = list(zip(*out, strict=True)) if out else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "did", "tag", "a", "part", "core", "strings"])
+                for k, stop, block, core in _blocks(part, p, BLOCK, length):
+                    bytes_ = part[k : stop + length]
+                    out.append((_core(h, block, core), d, t, at + k, p - k, bytes_, _hash(bytes_, 16)))
+        yield _batch(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary(), pa.binary()], ["core", "did", "tag", "a", "p", "part", "same"])
+
+
+def _take_apart(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of the strings of blocks, in rows of up to ``CORE`` starts."""
+    for batch in batches:
+        out: list[tuple] = []
+        for h, d, t, at, p, part in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for k, stop, block, core in _blocks(part, p, CORE, length):
+                out.append((_core(h, block, core), d, t, at + k, b"".join([_hash(part[i : i + length], 16) for i in range(k, stop + 1)])))
+        yield _batch(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()], ["core", "did", "tag", "a", "strings"])
+
+
+def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _core(key: int, block: int, data: bytes) -> int:
+    return int.from_bytes(_hash(b"%d %d " % (key, block) + data, 8), "little", signed=True)
 
 
 def _hash(data: bytes, size: int) -> bytes:
@@ -382,7 +403,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Covered bytes of the runs, which come ordered by their anchor. Whole groups are sorted, many at a time."""
+    """Covered bytes of the blocks, which come ordered by their core. Whole groups are sorted, many at a time."""
     held: list[tuple[int, int, int, int, bytes]] = []
     size = 0
     for batch in batches:
@@ -429,9 +450,10 @@ def repeated_spans(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
     """(did, tag, a, b): stretches of bytes [a, b) of documents that strings of ``length`` bytes cover which stand earlier.
 
     A hot anchor (a line that a third of all documents share) is never gathered: equal contexts are reduced by minima
-    that combine before the shuffle, different ones are sorted together up to ``TOGETHER`` of them, and of anchors with
-    more, the strings that share a core are grouped by their hashes in Spark. All three ways find the same strings.
-    Steps end in written tables, after which their shuffle files go.
+    that combine before the shuffle, and different ones, whatever their number, are cut into blocks. Blocks whose core
+    nothing shares hold no repeated string and go; equal blocks are reduced by minima. Those left of one core are sorted
+    together up to ``TOGETHER`` of them; of cores with more, the strings are grouped by their hashes in Spark. All ways
+    find the same strings. Steps end in written tables, after which their shuffle files go.
     """
     with dropping_shuffles(docs.sparkSession):
         return _repeated_spans(docs, length)
@@ -453,33 +475,39 @@ def _repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         "marked-runs",
     )
     whole = marked.where(~F.col("is_first")).select("did", "tag", "a", "b")
-    contexts = marked.where("is_first")
-    counts = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    lists = (
-        contexts.join(counts, "h")
-        .groupBy("did", "tag")
-        .agg(F.collect_list(F.struct("h", "a", "b", "p", (F.col("n") <= TOGETHER).alias("together"))).alias("runs"))
-    )
-    bodies = materialize(
-        keyed.join(lists, ["did", "tag"]).select("did", "tag", "body", "runs").mapInArrow(tidy(lambda b: _bodies(b, length)), BODIES),
-        "contexts",
+    # Rows that repeat a row count once, so that they do not meet each other's runs.
+    lists = marked.where("is_first").groupBy("did", "tag").agg(F.collect_set(F.struct("h", "a", "b", "p")).alias("runs"))
+    blocks = materialize(
+        keyed.join(lists, ["did", "tag"]).select("did", "tag", "body", "runs").mapInArrow(tidy(lambda b: _find_blocks(b, length)), BLOCKS),
+        "blocks",
     )
+    blocks = _shared(blocks, "shared-blocks")
+    repeated = blocks.where(~F.col("is_first")).select("did", "tag", "a", (F.col("a") + F.octet_length("part")).alias("b"))
+    blocks = blocks.where("is_first")
+    counts = blocks.groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     sorted_ = (
-        bodies.where(F.col("part").isNotNull()).select("h", "did", "tag", "a", "part").repartition("h").sortWithinPartitions("h", "did", "a")
-        .mapInArrow(tidy(lambda b: _sort_groups(b, length)), SPANS)
+        blocks.join(counts.where(F.col("n").between(2, TOGETHER)), "core").select("core", "did", "tag", "a", "part")
+        .repartition("core").sortWithinPartitions("core", "did", "a").mapInArrow(tidy(lambda b: _sort_groups(b, length)), SPANS)
     )
-    # Inside a hot passage most rows hold the same strings: of those only the earliest one is taken apart.
-    packed = _order_of(bodies.where(F.col("part").isNull()).select("core", "did", "tag", "a", "strings", F.md5("strings").alias("same")))
-    heads = packed.groupBy("core", "same").agg(F.min("place").alias("first"))
-    packed = materialize(packed.join(heads, ["core", "same"]).select("core", "did", "tag", "a", "strings", (F.col("place") == F.col("first")).alias("is_first")), "string-rows")
+    many = blocks.join(counts.where(F.col("n") > TOGETHER), "core").select("core", "did", "tag", "a", "p", "part")
+    packed = materialize(many.mapInArrow(tidy(lambda b: _take_apart(b, length)), ROWS), "string-rows")
+    # Beside a hot passage many rows hold the same strings: of those only the earliest one is taken apart.
+    packed = _shared(packed.withColumn("same", F.md5("strings")), "shared-rows")
     copies = packed.where(~F.col("is_first")).select("did", "tag", "a", (F.col("a") + F.octet_length("strings") / 16 - 1 + length).cast("int").alias("b"))
-    packed = packed.where("is_first")
-    cores = packed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    strings = packed.join(cores, "core").select("did", "tag", "a", "strings").mapInArrow(tidy(_strings), "did long, tag int, a int, one long, two long")
+    strings = packed.where("is_first").select("did", "tag", "a", "strings").mapInArrow(tidy(_strings), "did long, tag int, a int, one long, two long")
     strings = _order_of(materialize(strings, "shared-strings"))
     earliest = strings.groupBy("one", "two").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
     grouped = strings.join(earliest, ["one", "two"]).where("place > first").select("did", "tag", "a", (F.col("a") + length).alias("b"))
-    return union_all([inside, whole, sorted_, copies, grouped])
+    return union_all([inside, whole, repeated, sorted_, copies, grouped])
+
+
+def _shared(rows: DataFrame, purpose: str) -> DataFrame:
+    """Rows whose core others have as well, without ``same``; ``is_first`` marks the earliest of those that are the same."""
+    ordered = _order_of(rows)
+    cores = rows.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    heads = ordered.groupBy("core", "same").agg(F.min("place").alias("first")).join(cores, "core")
+    marked = ordered.join(heads, ["core", "same"])
+    return materialize(marked.select(*[c for c in rows.columns if c != "same"], (F.col("place") == F.col("first")).alias("is_first")), purpose)
 
 
 def _removals(frame: DataFrame) -> DataFrame:

@@ -69,6 +69,46 @@ def test_repeated_bytes_go(docs_of, rnd, monkeypatch, together, stretch):
     assert sum(v[1] for v in want.values()) > 1000
 
 
+def test_common_phrases_are_compared_in_proportion_to_the_documents(docs_of, rnd, monkeypatch):
+    """Short phrases that every document holds share anchors, but no string of 100 bytes: none is taken apart."""
+    para = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    phrases, passage, made = [para(60) for _ in range(5)], para(200), {}
+    write = suffix_dedup.materialize
+
+    def counting(df, purpose):
+        made[n][purpose] = (table := write(df, purpose)).count()
+        return table
+
+    monkeypatch.setattr(suffix_dedup, "materialize", counting)
+    for n in (40, 200):
+        made[n] = {}
+        rows = [(d, para(150).join(["", *phrases, passage if d in (3, 30) else ""]) + para(150)) for d in range(n)]
+        want = removed(rows, 100)
+        got = {r[0]: tuple(r)[1:] for r in suffix_dedup.dedup_digests(docs_of(rows)).collect()}
+        assert got == {d: v[:4] for d, v in want.items()} and sum(v[1] for v in want.values()) >= 200
+    assert made[40]["shared-runs"] >= 40
+    assert {k: v for k, v in made[200].items() if v > 6 * made[40][k]} == {}
+
+
+def test_rows_that_repeat_do_not_multiply_blocks(docs_of, rnd, monkeypatch):
+    made = {}
+    write = suffix_dedup.materialize
+
+    def counting(df, purpose):
+        made[purpose] = (table := write(df, purpose)).count()
+        return table
+
+    monkeypatch.setattr(suffix_dedup, "materialize", counting)
+    line = "".join(rnd.choice("abcdefghij ") for _ in range(150))
+    rows, blocks = [(1, "one, " + line + " and more of it" * 9), (2, "the second: " + line + " but other things" * 9)], []
+    for times in (1, 8):
+        got = suffix_dedup.dedup_digests(docs_of(rows * times)).collect()
+        assert len(got) == 2 * times
+        assert {tuple(r) for r in got} == {(d, *v[:4]) for d, v in removed(rows, 100).items()}
+        blocks.append(made["blocks"])
+    assert 0 < blocks[0] and blocks[1] <= 8 * blocks[0]
+
+
 def test_texts_are_cut_and_other_columns_stay(docs_of):
     line = " ".join(f"é{i}" for i in range(40)) + " "
     rows = [(1, line + "tail one"), (2, "head " + line), (None, line), (3, None), (3, None), (1, line + "tail one")]
