@@ -43,62 +43,69 @@ class Runs:
     """
 
     def __init__(self, texts: list[bytes], length: int = MIN_BYTES):
-        sizes = np.array([len(t) for t in texts], np.int64)
-        self.base = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        self.data = data
-        empty = np.zeros(0, np.int64)
-        self.doc = self.first = self.last = self.at = empty
-        self.anchor = self.context = np.zeros(0, np.uint64)
-        n = len(data)
-        if n < length:
-            return
-        values = _BYTE[data]
-        grams = values
-        width = 1
-        by_width = {1: values}
-        while width * 2 <= ANCHOR:
-            grams = grams[:-width] + grams[width:] * _power(width)
-            width *= 2
-            by_width[width] = grams
-        rest = ANCHOR - width
-        while rest:
-            part = 1 << (rest.bit_length() - 1)
-            more = by_width[part][width : width + n - width - part + 1]
-            grams = grams[: len(more)] + more * _power(width)
-            width += part
-            rest -= part
-        grams = _scrambled(grams)
-        low = np.uint64((1 << POSITION_BITS) - 1)
-        least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-        window = length - ANCHOR + 1
-        span = 1
-        while span * 2 <= window:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if window > span:
-            shift = window - span
-            least = np.minimum(least[:-shift], least[shift:])
-        # Starts whose string stays inside its text.
-        owner = np.repeat(np.arange(len(texts)), sizes)[: len(least)]
-        inside = np.arange(len(least)) + length <= (self.base + sizes)[owner]
-        starts = np.flatnonzero(inside)
-        if not len(starts):
-            return
-        at = (least[starts] & low).astype(np.int64)
-        heads = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
-        begin, end = starts[heads], starts[np.append(heads[1:], len(starts)) - 1]
-        at = at[heads]
-        powers = np.cumprod(np.full(n, _BASE))
-        whole = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers)])
-        back = np.cumprod(np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64))))
-        content = (whole[end + length] - whole[begin]) * back[begin]
-        self.doc = owner[begin]
-        self.anchor = grams[at]
-        # The place of the anchor is part of the content's identity.
-        self.context = _scrambled(content ^ ((at - begin).astype(np.uint64) * _MIX))
-        self.first, self.last = begin - self.base[self.doc], end - self.base[self.doc]
-        self.at = at - begin
+        # Some texts at a time: the arrays in between take more than a hundred bytes for each byte of text.
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        heads = np.flatnonzero(np.diff((ends - 1) // PIECE, prepend=-2)).tolist()
+        found = [(i, *_runs_of(texts[i:j], length)) for i, j in itertools.pairwise([*heads, len(texts)])] or [(0, *_NO_RUNS)]
+        self.doc = np.concatenate([doc + i for i, doc, *_ in found])
+        self.anchor, self.context, self.first, self.last, self.at = (np.concatenate([f[k] for f in found]) for k in range(2, 7))
+
+
+_NO_RUNS = tuple(np.zeros(0, kind) for kind in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
+
+
+def _runs_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Of each run: the text, hashes of its anchor and context, first and last start, and its anchor's place in it."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    base = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    n = len(data)
+    if n < length:
+        return _NO_RUNS
+    values = _BYTE[data]
+    grams = values
+    width = 1
+    by_width = {1: values}
+    while width * 2 <= ANCHOR:
+        grams = grams[:-width] + grams[width:] * _power(width)
+        width *= 2
+        by_width[width] = grams
+    rest = ANCHOR - width
+    while rest:
+        part = 1 << (rest.bit_length() - 1)
+        more = by_width[part][width : width + n - width - part + 1]
+        grams = grams[: len(more)] + more * _power(width)
+        width += part
+        rest -= part
+    grams = _scrambled(grams)
+    low = np.uint64((1 << POSITION_BITS) - 1)
+    least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+    window = length - ANCHOR + 1
+    span = 1
+    while span * 2 <= window:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if window > span:
+        shift = window - span
+        least = np.minimum(least[:-shift], least[shift:])
+    # Starts whose string stays inside its text.
+    owner = np.repeat(np.arange(len(texts)), sizes)[: len(least)]
+    inside = np.arange(len(least)) + length <= (base + sizes)[owner]
+    starts = np.flatnonzero(inside)
+    if not len(starts):
+        return _NO_RUNS
+    at = (least[starts] & low).astype(np.int64)
+    heads = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
+    begin, end = starts[heads], starts[np.append(heads[1:], len(starts)) - 1]
+    at = at[heads]
+    powers = np.cumprod(np.full(n, _BASE))
+    whole = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers)])
+    back = np.cumprod(np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64))))
+    content = (whole[end + length] - whole[begin]) * back[begin]
+    doc = owner[begin]
+    # The place of the anchor is part of the content's identity.
+    context = _scrambled(content ^ ((at - begin).astype(np.uint64) * _MIX))
+    return doc, grams[at], context, begin - base[doc], end - base[doc], at - begin
 
 
 def suffix_arrays(symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -251,8 +258,10 @@ def merged(begin: np.ndarray, end: np.ndarray, of: np.ndarray | None = None) ->
     return np.flatnonzero(new)
 
 
-#: Bytes of text whose runs are found together; longer texts are taken in overlapping stretches.
+#: Bytes of text whose equal runs are reduced before they leave a task.
 STRETCH = 2 << 20
+#: Bytes of text whose runs are found at once; longer texts are taken in overlapping stretches.
+PIECE = 1 << 17
 #: Blocks of one core that are sorted together; the strings of cores with more are grouped by Spark.
 TOGETHER = 64
 HELD_BYTES = 6 << 20
@@ -278,11 +287,11 @@ def _keyed(docs: DataFrame, *keep: str) -> DataFrame:
 def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
     """Documents in groups of at most about ``STRETCH`` bytes: did, tag, offset of the stretch, and its bytes."""
     held: list[tuple[int, int, int, bytes]] = []
-    total = 0
+    total, step = 0, min(STRETCH, PIECE)
     for batch in batches:
         for did, tag, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-            for offset in range(0, max(1, len(body) - length + 1), STRETCH):
-                part = body[offset : offset + STRETCH + length - 1]
+            for offset in range(0, max(1, len(body) - length + 1), step):
+                part = body[offset : offset + step + length - 1]
                 if total and total + len(part) > STRETCH + length:
                     yield _columns(held)
                     held, total = [], 0
