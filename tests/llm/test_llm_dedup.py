@@ -213,6 +213,53 @@ def test_trie_agrees_with_pairs():
     assert ngram_join.connected(sets) == [unions.root(i) for i in range(len(sets))]
 
 
+def test_sets_with_only_a_passage_in_common_are_not_compared(monkeypatch):
+    """Before, every set of a cell was compared with every other one that a hot passage brought there."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(1 << 50, size=30, dtype=np.uint64)
+    sets = [np.unique(np.append(passage, rng.integers(1 << 50, size=70, dtype=np.uint64))) for _ in range(300)]
+    sets += [s[:-1] for s in sets[:5]]
+    compared = []
+    monkeypatch.setattr(ngram_join.PrefixTree, "connect", lambda tree, tokens, member, *rest, f=ngram_join.PrefixTree.connect: (compared.append(member), f(tree, tokens, member, *rest)))
+    want = [*range(300), *range(5)]
+    assert ngram_join.connected(sets) == want and len(compared) == 10
+    assert ngram_join.connected(sets, labels=[*range(300), *range(5)]) == want and len(compared) == 10
+    assert ngram_join.connected(sets, index=300) == want and len(compared) == 15
+
+
+def test_parts_keep_every_link():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        bases = [rng.integers(1 << 50, size=rng.integers(1, 60), dtype=np.uint64) for _ in range(4)]
+        take = lambda s, p: s[rng.random(len(s)) < p]
+        sets = [np.unique(np.append(take(bases[rng.integers(4)], rng.choice([1, 0.95, 0.8])), take(bases[0], rng.integers(2)))) for _ in range(25)]
+        labels, index = [rng.integers(0, 15, 25).tolist(), None][rng.integers(2)], [None, 10][rng.integers(2)]
+        unions, heads = common.Unions(25), {}
+        for i, label in enumerate(labels or ()):
+            unions.join(heads.setdefault(label, i), i)
+        for i, x in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(x, sets[j]))
+                if both and 100 * both >= 80 * (len(x) + len(sets[j]) - both) and (index is None or j < index <= i):
+                    unions.join(i, j)
+        assert ngram_join.connected(sets, labels=labels, index=index) == [unions.root(i) for i in range(25)]
+
+
+def test_sets_of_large_groups_are_joined_apart(docs_of, rnd, monkeypatch):
+    """A group that a passage makes larger than a block goes to a call of its own, with all its links."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    calls = []
+    monkeypatch.setattr(ngram_join, "_links", lambda *a, f=ngram_join._links: (calls.append(a[2]), f(*a))[1])
+    para = lambda n: " ".join(f"w{rnd.randrange(5000)}" for _ in range(n))
+    passage = para(30)
+    rows = [(d, f"{passage} {para(4)}") for d in range(20)] + [(100 + d, para(40)) for d in range(60)]
+    rows += [(200 + d, rows[d][1] + " end") for d in (0, 3, 7, 30)]
+    want = linked(rows)
+    assert sum(v[1] != d for d, v in want.items()) >= 4
+    assert {r[0]: tuple(r)[1:] for r in ngram_join.similar(docs_of(rows)).collect()} == want
+    assert len(calls) > 1 and all(2 * b < a for a, b in zip(calls, calls[1:], strict=False))
+
+
 @pytest.mark.parametrize("shard", [20_000, 40])
 def test_embeddings_link(spark, monkeypatch, shard):
     monkeypatch.setattr(embed_dedup, "SHARD_ROWS", shard)
